@@ -68,10 +68,10 @@ if set(ALIKE) & set(TABLE) or set(ALIKE.values()) & (set(TABLE) | set(ALIKE)):
     raise ValueError("look-alikes conflict with the table")
 
 
-def _ranges(chars: set[str]) -> str:
+def ranges(chars) -> str:
     """The characters as the inside of a character class, in escapes that Python and Java both read."""
     esc = lambda o: f"\\u{o:04x}" if o < 0x10000 else None
-    codes, out = sorted(map(ord, chars)), []
+    codes, out = sorted(set(map(ord, chars))), []
     start = previous = None
     for o in [*codes, None]:
         if o is not None and previous is not None and o == previous + 1:
@@ -84,10 +84,11 @@ def _ranges(chars: set[str]) -> str:
 
 
 _MARKS = r"̀-ͯ᪰-᫿⃐-⃿ٓ-़゙゚ٕ"
-_SPECIAL = _ranges(set(TABLE) | set(ALIKE)) + _MARKS
-#: For the JVM: whether a text holds anything to map.
+_SPECIAL = ranges(set(TABLE) | set(ALIKE)) + _MARKS
+#: Whether a text holds anything to map; for the JVM ASCII is ruled out first, as it tests ranges one by one.
 NEEDS = f"[{_SPECIAL}]"
-_BREAKS = _ranges({c for c in TABLE if TABLE[c] and not TABLE[c][0].isalnum()})
+NEEDS_JVM = f"[\\x{{80}}-\\x{{10ffff}}&&{NEEDS}]"
+_BREAKS = ranges({c for c in TABLE if TABLE[c] and not TABLE[c][0].isalnum()})
 _RUN = re.compile(rf"[{_BREAKS}]|(?<![^\W_])(?:(?:(?![{_SPECIAL}])[^\W_])*+(?![{_BREAKS}])[{_SPECIAL}])+(?:(?![{_SPECIAL}])[^\W_])*+|[{_SPECIAL}]")
 _OTHER = {"CYRILLIC": re.compile("[%s]" % "".join(chr(o) for o in range(0x400, 0x530) if chr(o).isalpha() and chr(o) not in ALIKE)), "GREEK": re.compile("[%s]" % "".join(chr(o) for o in range(0x370, 0x400) if chr(o).isalpha() and chr(o) not in ALIKE))}
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]")
@@ -127,7 +128,7 @@ def _canonical(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def canonical_text(text: Column) -> Column:
     """The consistent form of a column; only texts with something to map are sent to Python."""
-    return F.coalesce(_canonical(F.when(text.rlike(NEEDS), text)), text)
+    return F.coalesce(_canonical(F.when(text.rlike(NEEDS_JVM), text)), text)
 
 
 def look_alikes(df: DataFrame, *, key: str, text: str = "text") -> DataFrame:
