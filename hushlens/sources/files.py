@@ -1,0 +1,151 @@
+"""Files as chunks: PDF pages, text and Markdown, JSON, CSV.
+
+Files are listed and read by Spark's binaryFile source, so a directory of any size is split over the executors; suffixes are
+filtered before content is read. The parsers run as one Arrow stage, one file at a time.
+"""
+
+from __future__ import annotations
+
+import csv
+import io
+import json
+import re
+import zlib
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SUFFIXES = (".pdf", ".txt", ".md", ".json", ".csv")
+CHUNKS = "file_path string, file_name string, file_type string, chunk_id string, page_number int, chunk_ord int, text string, status string, error_message string"
+
+_STRING = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>")
+_SHOW = re.compile(rb"(?P<strings>(?:\[(?:\s*(?:\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|-?[\d.]+))*\s*\]|\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>))\s*(?P<op>TJ|Tj|'|\")|(?P<move>(?:-?[\d.]+\s+){2,6}(?:Td|TD|Tm)|T\*)")
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _pdf_string(raw: bytes) -> str:
+    if raw[:1] == b"<":
+        digits = re.sub(rb"\s", b"", raw[1:-1])
+        data = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    else:
+        data = re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else _ESCAPES.get(m[1], m[1]), raw[1:-1], flags=re.S)
+    return data.decode("utf-16") if data[:2] in (b"\xfe\xff", b"\xff\xfe") else data.decode("cp1252", "replace")
+
+
+def _stream_text(content: bytes) -> str:
+    """The shown strings of a content stream; a move of the text position starts a new line."""
+    lines, line = [], []
+    for m in _SHOW.finditer(content):
+        if m["move"] or m["op"] in (b"'", b'"'):
+            if line:
+                lines.append("".join(line))
+            line = []
+        if m["strings"]:
+            line += [_pdf_string(s) for s in _STRING.findall(m["strings"])]
+    return "\n".join([*lines, "".join(line)] if line else lines)
+
+
+def simple_pdf(data: bytes) -> list[str]:
+    """Page texts of a PDF whose content streams are plain or deflated and whose fonts need no mapping."""
+    objects = {int(m[1]): m[2] for m in re.finditer(rb"(?<!\d)(\d+)\s+\d+\s+obj\b(.*?)\bendobj", data, re.S)}
+
+    def content(number: int) -> bytes:
+        m = re.search(rb"stream\r?\n(.*?)\r?\n?endstream", objects.get(number, b""), re.S)
+        if not m:
+            return b""
+        return zlib.decompress(m[1]) if b"FlateDecode" in objects[number] else m[1]
+
+    def pages(number: int) -> Iterator[bytes]:
+        body = objects.get(number, b"")
+        kids = re.search(rb"/Kids\s*\[(.*?)\]", body, re.S)
+        if kids:
+            for k in re.findall(rb"(\d+)\s+\d+\s+R", kids[1]):
+                yield from pages(int(k))
+        elif re.search(rb"/Type\s*/Page\b", body):
+            yield body
+
+    root = next((re.search(rb"/Pages\s+(\d+)\s+\d+\s+R", b) for b in objects.values() if re.search(rb"/Type\s*/Catalog\b", b)), None)
+    listed = list(pages(int(root[1]))) if root else [b for _, b in sorted(objects.items()) if re.search(rb"/Type\s*/Page\b", b)]
+    out = []
+    for page in listed:
+        refs = re.search(rb"/Contents\s*(\[.*?\]|\d+\s+\d+\s+R)", page, re.S)
+        numbers = [int(k) for k in re.findall(rb"(\d+)\s+\d+\s+R", refs[1])] if refs else []
+        out.append("\n".join(filter(None, (_stream_text(content(k)) for k in numbers))))
+    return out
+
+
+def pdf_pages(data: bytes) -> list[str]:
+    """Page texts by pypdf where it is installed, else by the simple reader."""
+    try:
+        from pypdf import PdfReader
+    except ImportError:
+        return simple_pdf(data)
+    return [p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages]
+
+
+def _pdf(data: bytes) -> list[tuple[str, int | None, str]]:
+    """One chunk a page; blank pages are left out, numbers keep their gaps."""
+    return [(f"page_{n}", n, t) for n, t in enumerate(pdf_pages(data), 1) if t.strip()]
+
+
+def _text(data: bytes) -> list[tuple[str, int | None, str]]:
+    """Strict UTF-8, line ends united, kept even if empty."""
+    return [("full_text", None, io.TextIOWrapper(io.BytesIO(data), encoding="utf-8").read())]
+
+
+def _json(data: bytes) -> list[tuple[str, int | None, str]]:
+    """Parsed and printed with two blanks of indent, characters and key order kept."""
+    return [("json", None, json.dumps(json.loads(data.decode("utf-8")), ensure_ascii=False, indent=2))]
+
+
+def _csv(data: bytes) -> list[tuple[str, int | None, str]]:
+    """A line for each row: row=N: column=value, ..."""
+    rows = csv.DictReader(io.StringIO(data.decode("utf-8-sig"), newline=""))
+    return [("csv", None, "\n".join(f"row={n}: " + ", ".join(f"{k}={v}" for k, v in row.items()) for n, row in enumerate(rows, 1)))]
+
+
+PARSERS: dict[str, Callable[[bytes], list[tuple[str, int | None, str]]]] = {".pdf": _pdf, ".txt": _text, ".md": _text, ".json": _json, ".csv": _csv}
+
+
+def extract(suffix: str, data: bytes) -> list[tuple[str, int | None, str]]:
+    """(chunk_id, page_number, text) of one file; an unknown suffix is an error."""
+    if suffix.lower() not in PARSERS:
+        raise ValueError(f"unsupported file type: {suffix}")
+    return PARSERS[suffix.lower()](data)
+
+
+def parse(files: DataFrame, fail_fast: bool = True) -> DataFrame:
+    """binaryFile rows -> chunks. With fail_fast off a file that can't be read gives one row with status error and null text."""
+    path = F.regexp_replace("path", "^file:/*(?=/)", "")
+    rows = files.select(path.alias("file_path"), F.element_at(F.split(path, "/"), -1).alias("file_name"), "content")
+    rows = rows.withColumn("file_type", F.lower(F.regexp_extract("file_name", r"[^.](\.[^.]*)$", 1))).where(F.col("file_type").isin(*SUFFIXES))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for path, name, data, suffix in zip(b["file_path"], b["file_name"], b["content"], b["file_type"]):
+                try:
+                    out += [(path, name, suffix, c, p, n, t, "ok", "") for n, (c, p, t) in enumerate(extract(suffix, bytes(data)))]
+                except Exception as e:
+                    if fail_fast:
+                        raise
+                    out.append((path, name, suffix, "", None, 0, None, "error", f"{type(e).__name__}: {e}"))
+            frame = pd.DataFrame(out, columns=[c.split()[0] for c in CHUNKS.split(", ")])
+            frame["page_number"] = frame["page_number"].astype("Int32")
+            yield frame
+
+    return rows.select("file_path", "file_name", "content", "file_type").mapInPandas(read, CHUNKS)
+
+
+def read_directory(spark: SparkSession, directory: str, fail_fast: bool = True) -> DataFrame:
+    """Chunks of all supported files below a directory, in no particular order."""
+    pattern = "*.{" + ",".join(v for s in SUFFIXES for v in (s[1:], s[1:].upper(), s[1:].capitalize())) + "}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(directory)
+    return parse(files, fail_fast)
+
+
+def read_examples(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON array of {text_id, text}."""
+    return spark.read.schema("text_id string, text string").option("multiLine", True).json(path)
