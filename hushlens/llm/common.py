@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Where the public tokenizers' vocabulary files are; every operator takes the path as a parameter.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -51,3 +55,28 @@ def spread(df: DataFrame, *keys) -> DataFrame:
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *keys)
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def map_columns(df: DataFrame, make: Callable[[], Callable[..., Sequence[Sequence]]], ddl: str) -> DataFrame:
+    """Arrow stage on plain lists: make() runs once per task and gives a function from the columns of a batch to those of the result.
+
+    Lists keep nulls and large integers as they are, which pandas columns would not.
+    """
+    schema = arrow_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            out = work(*(c.to_pylist() for c in batch.columns))
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, schema)], schema=schema)
+
+    return df.mapInArrow(run, ddl)
+
+
+def transposed(rows: Sequence[Sequence], width: int) -> list[Sequence]:
+    """Rows as columns."""
+    return list(zip(*rows)) if rows else [[] for _ in range(width)]

@@ -12,7 +12,7 @@ block starts from the total before it. The number of blocks follows the number o
 Spellings of a source are united by dropping case, outer blanks and the kind of separator. Defined results: rows with null
 source or with a source that has no target count towards the total size but are never chosen; null or empty texts have 0
 tokens and are chosen like others while demand lasts; null target or cap counts as 0; equal hashes are ordered by id; an
-empty table reports 0 tokens for every source.
+empty table reports 0 tokens and null shares for every source.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ def source_key(source: Column) -> Column:
 
 def sized(df: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """_key, _source, tokens of every row; checkpointed, because the totals and the choice both need it."""
-    rows = spread(df.select(F.col(key).alias("_key"), source_key(F.col(source)).alias("_source"), F.col(text).alias("_text")), F.xxhash64(key, text))
+    rows = spread(df.select(F.col(key).alias("_key"), source_key(F.col(source)).alias("_source"), F.col(text).alias("_text")), F.xxhash64("_key", "_text"))
     return cut_lineage(rows.select("_key", "_source", token_count(F.col("_text"), folder, vocabulary).cast("long").alias("tokens")))
 
 
@@ -49,7 +49,7 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 
 def position(c: Column, share: Column, budget: Column, tilt: float) -> Column:
     """The t in [0, 1] with budget * share * ((1 + tilt) * t - tilt * t^2) = c."""
-    x = c / (budget * share)
+    x = F.try_divide(c, budget * share)
     return x if tilt == 0 else F.least(F.lit(1.0), ((1 + tilt) - F.sqrt(F.greatest(F.lit(0.0), (1 + tilt) ** 2 - 4 * tilt * x))) / (2 * tilt))
 
 
@@ -79,5 +79,5 @@ def mix(df: DataFrame, targets: DataFrame, *, key: str = "doc_id", text: str = "
     ordered = chosen.repartitionByRange(parts, "position", key, "repeat").sortWithinPartitions("position", key, "repeat")
     used = chosen.groupBy("source").agg(F.sum("tokens").alias("used_tokens"), F.count(F.lit(1)).alias("used_records"), F.max("repeat").alias("most_repeats"))
     report = goals.join(used, "source", "left").withColumns({"used_tokens": F.coalesce("used_tokens", F.lit(0)), "used_records": F.coalesce("used_records", F.lit(0)), "most_repeats": F.coalesce("most_repeats", F.lit(0))})
-    report = report.withColumns({"share_of_budget": F.col("used_tokens") / F.col("budget"), "share_reached": F.col("used_tokens") / F.sum("used_tokens").over(Window.partitionBy(F.lit(0)))})
+    report = report.withColumns({"share_of_budget": F.try_divide("used_tokens", "budget"), "share_reached": F.try_divide("used_tokens", F.sum("used_tokens").over(Window.partitionBy(F.lit(0))))})
     return ordered, report.select("source", "target_share", "max_repeats", "budget", "own_tokens", "n_rows", "demand", "short", "used_tokens", "used_records", "most_repeats", "share_of_budget", "share_reached")

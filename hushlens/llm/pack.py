@@ -16,14 +16,13 @@ sizes are taken by hash of the id, then id; an empty table gives no rows.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKENIZERS, cut_lineage, spread
-from .tokens import VOCABULARY, token_table
+from .common import TOKENIZERS, arrow_schema, cut_lineage, map_columns, spread, transposed
+from .tokens import VOCABULARY, token_pieces
 
 CAPACITY = 4_096
 
@@ -97,15 +96,15 @@ def measured(df: DataFrame, *, key: str, text: str, source: str, capacity: int,
     rows = rows.withColumn("_cluster", F.xxhash64(F.lower(F.trim(F.regexp_replace("_text", r"\s+", " "))), F.col("_text").isNull()))
     key_type = df.schema[key].dataType.simpleString()
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for k, s, c, pieces in zip(b["_key"], b["_source"], b["_cluster"], token_table(b["_text"], capacity, folder, vocabulary)):
-                out += [(k, s, c, n, len(pieces), *piece) for n, piece in enumerate(pieces)]
-            yield pd.DataFrame(out, columns=["_key", "_source", "_cluster", "piece", "n_pieces", "start_char", "end_char", "tokens"])
+    def measure(keys: list, sources: list, texts: list, clusters: list) -> list:
+        out = []
+        for k, s, t, c in zip(keys, sources, texts, clusters):
+            pieces = [(0, 0, 0)] if t is None else token_pieces(t, capacity, folder, vocabulary)
+            out += [(k, s, c, n, len(pieces), *piece) for n, piece in enumerate(pieces)]
+        return transposed(out, 8)
 
     schema = f"_key {key_type}, _source string, _cluster bigint, piece int, n_pieces int, start_char int, end_char int, tokens int"
-    return spread(rows, F.xxhash64("_key", "_text")).mapInPandas(measure, schema)
+    return map_columns(spread(rows, F.xxhash64("_key", "_text")), lambda: measure, schema)
 
 
 def pack(df: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", capacity: int = CAPACITY, max_sources: int = 4, group_rows: int = 20_000, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -118,17 +117,18 @@ def pack(df: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     groups = max(1, -(-items.count() // group_rows))
     key_type = df.schema[key].dataType.simpleString()
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["tokens", "_turn", "_key", "piece"], ascending=[False, True, True, True], kind="stable")
-        places = pack_group(pdf["tokens"].tolist(), pdf["_source"].where(pdf["_source"].notna(), None).tolist(), pdf["_cluster"].tolist(), capacity, max_sources)
-        pdf["container"] = [f"{g}-{b}" for g, (b, _, _) in zip(pdf["_group"], places)]
-        pdf["place"] = [p for _, p, _ in places]
-        pdf["offset"] = [o for _, _, o in places]
-        return pdf[["_key", "piece", "n_pieces", "start_char", "end_char", "tokens", "container", "place", "offset"]]
-
     schema = f"_key {key_type}, piece int, n_pieces int, start_char int, end_char int, tokens int, container string, place int, offset int"
+    result = arrow_schema(schema)
+
+    def fill(group: pa.Table) -> pa.Table:
+        rows = sorted(group.to_pylist(), key=lambda r: (-r["tokens"], r["_turn"], r["_key"] is None, r["_key"], r["piece"]) if r["_key"] is not None else (-r["tokens"], r["_turn"], True, 0, r["piece"]))
+        places = pack_group([r["tokens"] for r in rows], [r["_source"] for r in rows], [r["_cluster"] for r in rows], capacity, max_sources)
+        for r, (b, place, offset) in zip(rows, places):
+            r |= {"container": f"{r['_group']}-{b}", "place": place, "offset": offset}
+        return pa.Table.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in result], schema=result)
+
     dealt = items.withColumn("_turn", F.xxhash64("_key", "piece")).withColumn("_group", F.pmod("_turn", F.lit(groups)))
-    return dealt.groupBy("_group").applyInPandas(fill, schema).withColumnRenamed("_key", key)
+    return dealt.groupBy("_group").applyInArrow(fill, schema).withColumnRenamed("_key", key)
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -21,16 +21,15 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import feistel
 from .canon import ALIKE, NEEDS, TABLE
-from .common import spread
+from .common import map_columns, spread, transposed
 
 MAX_PERSONS = 100_000
 
@@ -289,21 +288,17 @@ def items(df: DataFrame, shapes: Shapes, *, key: str, text: str) -> DataFrame:
     key_type = df.schema[key].dataType.simpleString()
     words, least = sorted(shapes.known), shapes.least
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan() -> Callable[[list, list], list]:
         model = Shapes(words, least)
         seen = lru_cache(maxsize=20_000)(lambda t: find(t, model))  # excerpts repeat
-        for b in batches:
-            keys, kinds, starts, ends = [], [], [], []
-            for k, t in zip(b["_key"], b["_text"]):
-                for s, e, kind in seen(t) if len(t) < 400 else find(t, model):
-                    keys.append(k)
-                    kinds.append(kind)
-                    starts.append(s)
-                    ends.append(e)
-            yield pd.DataFrame({"_key": pd.Series(keys, dtype=b["_key"].dtype), "pii_type": kinds, "start_char": starts, "end_char": ends})
+
+        def work(keys: list, texts: list) -> list:
+            return transposed([(k, kind, s, e) for k, t in zip(keys, texts) for s, e, kind in (seen(t) if len(t) < 400 else find(t, model))], 4)
+
+        return work
 
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.length("_text") > 0)
-    return rows.mapInPandas(scan, f"_key {key_type}, pii_type string, start_char int, end_char int").withColumnRenamed("_key", key)
+    return map_columns(rows, scan, f"_key {key_type}, pii_type string, start_char int, end_char int").withColumnRenamed("_key", key)
 
 
 def masked(df: DataFrame, shapes: Shapes, *, key: str, text: str, secret: str, dates: bool = False) -> DataFrame:
@@ -311,10 +306,9 @@ def masked(df: DataFrame, shapes: Shapes, *, key: str, text: str, secret: str, d
     key_type = df.schema[key].dataType.simpleString()
     words, least, raw = sorted(shapes.known), shapes.least, secret.encode()
 
-    def mask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def mask() -> Callable[[list, list], list]:
         model = Shapes(words, least)
-        for b in batches:
-            yield pd.DataFrame({"_key": b["_key"], "masked_text": [None if t is None else replace(t, model, raw, dates) for t in b["_text"]]})
+        return lambda keys, texts: [keys, [None if t is None else replace(t, model, raw, dates) for t in texts]]
 
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    return spread(rows, F.xxhash64("_key", "_text")).mapInPandas(mask, f"_key {key_type}, masked_text string").withColumnRenamed("_key", key)
+    return map_columns(spread(rows, F.xxhash64("_key", "_text")), mask, f"_key {key_type}, masked_text string").withColumnRenamed("_key", key)

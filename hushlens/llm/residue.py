@@ -15,15 +15,12 @@ repeated rows are judged alike; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, map_columns
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Tables over groups of BITS of the 64 bits, chosen by a fixed permutation each; Hamming distance accepted before the texts are compared.
@@ -44,7 +41,7 @@ PLACEHOLDERS = (
     r"@@[\p{L}\d_.]+@@",
     r"«[A-Za-z][A-Za-z\d]*(?:[_.][A-Za-z\d]+)*»",
     rf"&(?!(?:{ENTITIES});)[\p{{L}}][\p{{L}}\d_.]+;",
-    r"(?<!\w):[a-z][a-z\d_.]+:(?!\w)",
+    r"(?<!\w):[A-Za-z][A-Za-z\d_.]+:(?!\w)",
     r"(?<!\w)X{4,}(?!\w)",
     r"<(?i:ins[ée]rer|insert|einfügen|insertar|nom|name)\b[^<>\n]{0,40}>",
     r"\[(?i:todo|tbd|à compl[ée]ter|a completer|insérer|insert|placeholder|your |votre )[^\]\n]{0,40}\]",
@@ -93,10 +90,13 @@ NOTICES = (
     r"at [a-z][\w$]*(?:\.[\w$<>]+)+\s*\(",
     r"(?:warning|notice|fatal error|parse error|error|uncaught)\s*:\s",
     r"(?:proxy|nginx|apache|gateway|upstream|varnish)[-/ ]?\S*\s*/?\s*(?:error\b|\d+\.\d+)",
+)
+#: Sample text to be replaced; it may also follow other filler or another sentence.
+SAMPLES = (
     r"(?:votre|insérez (?:ici )?votre|saisissez votre|tapez votre|ajoutez votre) (?:texte|contenu|titre)",
     r"(?:type|insert|enter|add|put|write) your (?:text|content|title|paragraph)",
     r"your (?:text|content|title|paragraph) (?:here|goes here)",
-    r"(?:hier )?(?:ihren|den) text (?:hier )?(?:einfügen|eingeben)|ihr text hier|hier steht (?:ihr|der) text|(?:mustertext|platzhaltertext|blindtext|beispieltext)",
+    r"(?:hier )?(?:ihren|den) text (?:hier )?(?:einfügen|eingeben)|ihr text hier|hier steht (?:später )?(?:ihr|der) text|(?:mustertext|platzhaltertext|blindtext|beispieltext)",
     r"(?:inserte|escriba|introduzca) (?:aquí )?su (?:texto|contenido)|su texto aquí|texto de (?:ejemplo|prueba|relleno|muestra)",
     r"texte (?:de démonstration|d'exemple|provisoire|à remplacer|de remplissage|factice)",
     r"(?:ceci est|voici) un (?:paragraphe|texte|titre|contenu) (?:d'exemple|de test|provisoire|factice)",
@@ -106,22 +106,23 @@ NOTICES = (
 LONGEST_NOTICE = 200
 
 _FILLER_WORDS = "|".join(FILLER.split())
-_FILLER_LINE = rf"(?i)^\W*(?:(?:{_FILLER_WORDS})\W+){{2,}}(?:\w*\W*)$|^\W*(?:(?:{_FILLER_WORDS})\W+){{5,}}|(?:\W+(?:{_FILLER_WORDS})){{6,}}"
-_NOTICE_LINE = rf"(?i)^[\s>#*=-]*(?:[^.!?\n]{{0,40}}\s[-–|:]\s)?(?:{'|'.join(NOTICES)})"
+_FILLER_LINE = rf"(?i)^\W*(?:(?:{_FILLER_WORDS})\W+){{2,}}(?:\w*\W*)$|^\W*(?:(?:{_FILLER_WORDS})\W+){{3,}}|(?:\W+(?:{_FILLER_WORDS})){{6,}}"
+_NOTICE_LINE = rf"(?i)^[\s>#*=-]*(?:[^.!?\n]{{0,40}}\s[-–|:]\s)?(?:{'|'.join(NOTICES)})|(?:^[\s>#*=-]*|[.!?]\s+)(?:{'|'.join(SAMPLES)})"
 _PLACEHOLDER = "|".join(PLACEHOLDERS)
+#: What every placeholder holds; one class, so that most lines are passed over quickly.
+_HINT = r"[{\[<$#%_@«&]|:[A-Za-z]|XXXX"
 
 
 def trusted(line: Column) -> Column:
     """Whether a line is residue beyond doubt."""
-    return F.coalesce(line.rlike(_PLACEHOLDER) | line.rlike(_FILLER_LINE) | ((F.length(line) <= LONGEST_NOTICE) & line.rlike(_NOTICE_LINE)), F.lit(False))
+    return F.coalesce((line.rlike(_HINT) & line.rlike(_PLACEHOLDER)) | line.rlike(_FILLER_LINE) | ((F.length(line) <= LONGEST_NOTICE) & line.rlike(_NOTICE_LINE)), F.lit(False))
 
 
 def comparison_form(line: Column) -> Column:
     """Lower case, placeholders, identifiers and numbers as marks, words parted by one blank."""
-    form = F.regexp_replace(line, _PLACEHOLDER, " phx ")
-    form = F.regexp_replace(F.lower(form), r"\b(?=\w*\d)[0-9a-f]{6,}\b|\b[a-z]{2,4}\d\d-\d+\b", "0")
-    form = F.regexp_replace(F.regexp_replace(form, r"\d+", "0"), r"[^\p{L}\p{M}\p{N}']+", " ")
-    return F.trim(form)
+    form = F.when(line.rlike(_HINT), F.regexp_replace(line, _PLACEHOLDER, " phx ")).otherwise(line)
+    form = F.regexp_replace(F.lower(form), "[0-9][0-9a-f]*", "0")
+    return F.trim(F.regexp_replace(form, r"[^\p{L}\p{M}\p{N}']+", " "))
 
 
 def shingles(form: Column) -> Column:
@@ -146,12 +147,11 @@ def _simhash(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def with_simhash(forms: DataFrame) -> DataFrame:
     """_h, _form, _seed, the SimHash _sim and the number of shingles _n."""
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["_sim"], b["_n"] = _simhash(b["_form"].tolist())
-            yield b
+    def add(hashes: list, texts: list, seeds: list) -> list:
+        sims, sizes = _simhash(texts)
+        return [hashes, texts, seeds, sims, sizes]
 
-    return forms.mapInPandas(add, "_h bigint, _form string, _seed boolean, _sim bigint, _n int")
+    return map_columns(forms, lambda: add, "_h bigint, _form string, _seed boolean, _sim bigint, _n int")
 
 
 def _tables(sim: Column) -> Column:

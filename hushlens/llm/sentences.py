@@ -18,14 +18,12 @@ around it excluded.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread
+from .common import map_columns, spread, transposed
 
 # Events
 W, E, M, C, OPEN, K, FIN, G, BOPEN, BK, BFIN, X = range(12)
@@ -134,6 +132,11 @@ def _next(text: str, at: int, end: int) -> tuple[int, str]:
     return k, text[k] if k < end else ""
 
 
+def _low_quote(text: str, start: int, at: int) -> bool:
+    """Whether a low quote is open before text[at], which “ then closes."""
+    return text.rfind("„", start, at) > text.rfind("“", start, at)
+
+
 def _after(text: str, at: int, end: int, go: int, fin: int, caseless: int) -> int:
     """The event of a closer, by what follows it."""
     k, c = _next(text, at, end)
@@ -190,10 +193,8 @@ def _lex(text: str, start: int, end: int, thai: bool, events: list[int], at: lis
             full = text[b - 1] in _FULL
             if not n:
                 e = E
-            elif n in _CLOSERS or n in '"“' and (k == b and (depth or straight or n == "“")):
+            elif n in _CLOSERS or k == b and (n == '"' and straight or n == "“" and _low_quote(text, start, k)):
                 e = C
-                if n in ")]）］»”」』›" or n in '"“':
-                    e = C
             elif not full and k == b:
                 e = W
             elif n.islower() or n in ",;:،،؛、，；：":
@@ -210,7 +211,7 @@ def _lex(text: str, start: int, end: int, thai: bool, events: list[int], at: lis
             else:
                 e = W
         elif c in "«“„「『‹":
-            if c == "“" and depth and text.rfind("„", start, a) > text.rfind("“", start, a):
+            if c == "“" and depth and _low_quote(text, start, a):
                 depth, e = 0, _after(text, b, end, K, FIN, G)
             elif any(text.find(x, b, end) > 0 for x in {"«": "»", "“": "”", "„": "“”", "「": "」", "『": "』", "‹": "›"}[c]):
                 depth, e = 1, OPEN
@@ -306,18 +307,9 @@ def sentence_units(df: DataFrame, *, text: str = "text", key: str = "chunk_key")
     """The units of every row: key, unit_index, start_char, end_char, unit_text."""
     key_type = df.schema[key].dataType.simpleString()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keys, index, starts, ends, texts = [], [], [], [], []
-            for k, t in zip(b["_key"], b["_text"]):
-                for n, (s, e) in enumerate(units(t)):
-                    keys.append(k)
-                    index.append(n)
-                    starts.append(s)
-                    ends.append(e)
-                    texts.append(t[s:e])
-            yield pd.DataFrame({"_key": pd.Series(keys, dtype=b["_key"].dtype), "unit_index": index, "start_char": starts, "end_char": ends, "unit_text": texts})
+    def cut(keys: list, texts: list) -> list:
+        return transposed([(k, n, s, e, t[s:e]) for k, t in zip(keys, texts) for n, (s, e) in enumerate(units(t))], 5)
 
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
-    found = spread(rows, F.xxhash64("_key", "_text")).mapInPandas(cut, f"_key {key_type}, unit_index int, start_char int, end_char int, unit_text string")
+    found = map_columns(spread(rows, F.xxhash64("_key", "_text")), lambda: cut, f"_key {key_type}, unit_index int, start_char int, end_char int, unit_text string")
     return found.withColumnRenamed("_key", key)

@@ -14,13 +14,11 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_right
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, small_side
+from .common import free_name, map_columns, small_side, transposed
 
 #: The separator hierarchy, strongest first; a cut is allowed at the end of a match (before it for headings).
 LEVELS = (
@@ -78,15 +76,14 @@ def split_oversized(df: DataFrame, limits: DataFrame, *, text: str = "text", key
     over = (F.length("_text") > F.col("_limit")) & (F.col("_limit") > 0)
     key_type, id_type = df.schema[key].dataType.simpleString(), df.schema[item_id].dataType.simpleString()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for k, i, t, limit, overlap in zip(b["_key"], b["_id"], b["_text"], b["_limit"], b["_overlap"]):
-                cuts = spans(t, int(limit), 0 if pd.isna(overlap) else int(overlap))
-                out += [(k, i, n, len(cuts), s, e, t[s:e]) for n, (s, e) in enumerate(cuts)]
-            yield pd.DataFrame(out, columns=["_key", "_id", "piece_ord", "n_pieces", "start_char", "end_char", "piece_text"])
+    def cut(keys: list, ids: list, texts: list, limits: list, overlaps: list) -> list:
+        out = []
+        for k, i, t, limit, overlap in zip(keys, ids, texts, limits, overlaps):
+            cuts = spans(t, limit, overlap or 0)
+            out += [(k, i, n, len(cuts), s, e, t[s:e]) for n, (s, e) in enumerate(cuts)]
+        return transposed(out, 7)
 
-    large = rows.where(over).mapInPandas(cut, f"_key {key_type}, _id {id_type}, piece_ord int, n_pieces int, start_char int, end_char int, piece_text string")
+    large = map_columns(rows.where(over), lambda: cut, f"_key {key_type}, _id {id_type}, piece_ord int, n_pieces int, start_char int, end_char int, piece_text string")
     whole = rows.where(~F.coalesce(over, F.lit(False))).select("_key", "_id", F.lit(0).alias("piece_ord"), F.lit(1).alias("n_pieces"), F.lit(0).alias("start_char"), F.coalesce(F.length("_text"), F.lit(0)).alias("end_char"), F.col("_text").alias("piece_text"))
     both = large.unionByName(whole)
     return both.select(F.col("_key").alias(key), F.col("_id").alias(item_id), F.concat(F.col("_id").cast("string"), F.format_string("#%04d", "piece_ord")).alias(free_name(df, "piece_id")), "piece_ord", "n_pieces", "start_char", "end_char", "piece_text")

@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql.functions import arrow_udf
@@ -68,7 +67,3 @@ def token_pieces(text: str, capacity: int, folder: str = TOKENIZERS, vocabulary:
         k = end
     out.append((at[k], len(text), len(ids) - k))
     return out
-
-
-def token_table(batch: pd.Series, capacity: int, folder: str, vocabulary: str) -> list[list[tuple[int, int, int]]]:
-    return [[(0, 0, 0)] if t is None else token_pieces(t, capacity, folder, vocabulary) for t in batch]
