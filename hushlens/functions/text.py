@@ -20,11 +20,11 @@ SUFFIX_PATTERN = f"(?:{'|'.join(plain.SUFFIXES)})$"
 BLANK = r"[\s\u0085   -     　\x1c-\x1f]"
 
 
-@lru_cache(maxsize=1)
-def tables() -> tuple[str, str, str]:
+@lru_cache(maxsize=2)
+def tables(lowercase: bool = True) -> tuple[str, str, str]:
     """(from, to) for translate(), and the characters that turn into several letters or digits.
 
-    Made from a rule: each character above ASCII in lower case, compatibility form, without combining marks, reduced to what
+    Made from a rule: each character above ASCII in lower case (if so switched), compatibility form, without combining marks, reduced to what
     normalisation keeps. Characters that turn into nothing stand last in `from`, beyond the end of `to`.
     """
     one, many, gone = {}, [], []
@@ -33,7 +33,7 @@ def tables() -> tuple[str, str, str]:
         c = chr(o)
         if 0xD800 <= o < 0xE000 or unicodedata.category(c) in ("Cn", "Co"):
             continue
-        lower = c.lower()
+        lower = c.lower() if lowercase else c
         form = plain.fold(lower)
         if form == c or "가" <= c <= "힣":
             continue
@@ -62,7 +62,7 @@ def normalize(text: Column, lowercase: bool = True, strip_accents: bool = True,
     """The normalised text; null gives the empty text. With all switches on, texts with a character that turns into several
     go through an Arrow function; rare=False leaves such characters to become blanks and stays in the JVM altogether."""
     value = F.coalesce(text, F.lit(""))
-    source, target, many = tables()
+    source, target, many = tables(lowercase)
     every = lowercase and strip_accents and collapse_whitespace and normalize_apostrophes and normalize_dashes
     if normalize_apostrophes:
         value = F.translate(value, plain.APOSTROPHES, "'" * len(plain.APOSTROPHES))

@@ -12,6 +12,7 @@ import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -139,11 +140,20 @@ def parse(files: DataFrame, fail_fast: bool = True) -> DataFrame:
     return rows.select("file_path", "file_name", "content", "file_type").mapInPandas(read, CHUNKS)
 
 
+def with_empty(files: DataFrame) -> DataFrame:
+    """Files of no bytes, which Spark's reader leaves out, added back with empty content."""
+    spark = files.sparkSession
+    listed = spark.createDataFrame([(unquote(f),) for f in files.inputFiles()], "path string")
+    bare = lambda c: F.regexp_replace(c, "^file:/*(?=/)", "")
+    missing = listed.select(bare("path").alias("path")).join(files.select(bare("path").alias("path")), "path", "left_anti")
+    return files.select("path", "content").unionByName(missing.withColumn("content", F.lit(b"")))
+
+
 def read_directory(spark: SparkSession, directory: str, fail_fast: bool = True) -> DataFrame:
     """Chunks of all supported files below a directory, in no particular order."""
     pattern = "*.{" + ",".join(v for s in SUFFIXES for v in (s[1:], s[1:].upper(), s[1:].capitalize())) + "}"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(directory)
-    return parse(files, fail_fast)
+    return parse(with_empty(files), fail_fast)
 
 
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
