@@ -76,7 +76,8 @@ def normalize(text: Column, lowercase: bool = True, strip_accents: bool = True,
     if collapse_whitespace:
         value = F.btrim(F.regexp_replace(value, r"\s+", " "))
     if every and rare:
-        value = F.coalesce(_normalize_rare(F.when(text.rlike(f"[{many}]"), text)), value)
+        # Java tests a class of many characters one by one, so ASCII is ruled out first.
+        value = F.coalesce(_normalize_rare(F.when(text.rlike(f"[\\x{{80}}-\\x{{10ffff}}&&[{many}]]"), text)), value)
     return value
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,8 +58,8 @@ def with_hits(found: DataFrame, config: Config) -> DataFrame:
     return found.withColumns({"context_hits": hits(F.col("norm"), config.categories, lambda c: c.context_terms, cat), "field_hits": hits(F.col("norm"), config.categories, lambda c: c.field_hints, cat)})
 
 
-def _finish(found: DataFrame, keys: Sequence[str], config: Config, method: str, seq: int, base: Column, explanation: Column) -> DataFrame:
-    out = with_hits(found, config).withColumns({"method": F.lit(method), "method_seq": F.lit(seq)})
+def _finish(found: DataFrame, keys: Sequence[str], config: Config, method: Column, seq: Column, base: Column, explanation: Column) -> DataFrame:
+    out = with_hits(found, config).withColumns({"method": method, "method_seq": seq})
     out = out.withColumns({"score": boosted(base, F.col("context_hits"), F.col("field_hits")), "explanation": explanation})
     for name, kind in (("overlap", "array<string>"), ("similarity", "double")):
         if name not in out.columns:
@@ -70,34 +71,56 @@ def _alternation(terms: Sequence[Term]) -> str:
     return "|".join(re.escape(n).replace(r"\ ", " ") for n in sorted({t.norm for t in terms}, key=len, reverse=True))
 
 
-def lexical(sentences: DataFrame, config: Config, keys: Sequence[str]) -> DataFrame:
-    """One evidence per sentence and term whose normalised form is a substring of the sentence."""
-    terms = config.lexicon()
-    norm = F.col("norm")
-    met = sentences.where(norm.rlike(_alternation(terms))) if terms else sentences.limit(0)
-    found = met.select(*keys, "sentence_index", "sentence", "norm", F.explode(F.filter(lexicon_literal(terms), lambda t: F.contains(norm, t["norm"]))).alias("_t"))
-    found = found.select(*keys, "sentence_index", "sentence", "norm", "_t.cat_ord", "_t.term_ord", F.col("_t.term").alias("trigger"), F.col("_t.norm").alias("matched_variant"))
-    text = F.concat(F.lit("Correspondance lexicale exacte du terme '"), "trigger", F.lit("' dans la phrase."))
-    return _finish(found, keys, config, "lexical", 0, F.lit(0.62), text)
-
-
 def python_list(items: Column) -> Column:
     """An array of plain words as Python prints a list; words with an apostrophe stand in double quotes."""
     shown = F.transform(items, lambda x: F.when(F.contains(x, F.lit("'")), F.concat(F.lit('"'), x, F.lit('"'))).otherwise(F.concat(F.lit("'"), x, F.lit("'"))))
     return F.concat(F.lit("["), F.array_join(shown, ", "), F.lit("]"))
 
 
-def linguistic(sentences: DataFrame, config: Config, keys: Sequence[str]) -> DataFrame:
-    """One evidence per sentence and term that is not there as a substring but all of whose roots are."""
-    terms = [t for t in config.lexicon() if t.roots]
+def exact(sentences: DataFrame, config: Config, keys: Sequence[str], methods: Sequence[str] = ("lexical", "linguistic")) -> DataFrame:
+    """Evidence of the lexical and the linguistic detector in one pass over the sentences.
+
+    lexical: a term whose normalised form is a substring of the sentence. linguistic: a term that is no substring but all of
+    whose roots are among the sentence's.
+    """
+    terms = config.lexicon()
+    rooted = [t for t in terms if t.roots]
     norm, roots = F.col("norm"), F.col("roots")
-    firsts = _strings(sorted({t.roots[0] for t in terms}))
-    met = sentences.where(F.arrays_overlap(roots, firsts)) if terms else sentences.limit(0)
-    match = lambda t: ~F.contains(norm, t["norm"]) & (F.size(F.array_except(t["roots"], roots)) == 0)
-    found = met.select(*keys, "sentence_index", "sentence", "norm", F.explode(F.filter(lexicon_literal(terms), match)).alias("_t"))
-    found = found.select(*keys, "sentence_index", "sentence", "norm", "_t.cat_ord", "_t.term_ord", F.col("_t.term").alias("trigger"), F.col("_t.roots").alias("overlap"), F.array_join("_t.roots", " ").alias("matched_variant"))
-    text = F.concat(F.lit("Correspondance linguistique par racines/lemmes pour '"), "trigger", F.lit("' avec les racines detectees "), python_list(F.col("overlap")), F.lit("."))
-    return _finish(found, keys, config, "linguistic", 2, F.lit(0.52), text)
+    fields = lambda seq: lambda t: F.struct(F.lit(seq).alias("seq"), t["cat_ord"].alias("cat_ord"), t["term_ord"].alias("term_ord"), t["term"].alias("term"), t["norm"].alias("norm"), t["roots"].alias("roots"))
+    may, found = F.lit(False), []
+    if "lexical" in methods and terms:
+        may = may | norm.rlike(_alternation(terms))
+        found.append(F.transform(F.filter(lexicon_literal(terms), lambda t: F.contains(norm, t["norm"])), fields(0)))
+    if "linguistic" in methods and rooted:
+        may = may | F.arrays_overlap(roots, _strings(sorted({t.roots[0] for t in rooted})))
+        found.append(F.transform(F.filter(lexicon_literal(rooted), lambda t: ~F.contains(norm, t["norm"]) & (F.size(F.array_except(t["roots"], roots)) == 0)), fields(2)))
+    if not found:
+        return _none(sentences, config, keys)
+    rows = sentences.where(may).select(*keys, "sentence_index", "sentence", "norm", F.explode(F.concat(*found)).alias("_t"))
+    lex = F.col("_t.seq") == 0
+    rows = rows.select(
+        *keys, "sentence_index", "sentence", "norm", "_t.cat_ord", "_t.term_ord", F.col("_t.seq").alias("method_seq"), F.col("_t.term").alias("trigger"),
+        F.when(lex, F.col("_t.norm")).otherwise(F.array_join("_t.roots", " ")).alias("matched_variant"), F.when(~lex, F.col("_t.roots")).alias("overlap"),
+    )
+    lex = F.col("method_seq") == 0
+    said = F.when(lex, F.concat(F.lit("Correspondance lexicale exacte du terme '"), "trigger", F.lit("' dans la phrase."))).otherwise(
+        F.concat(F.lit("Correspondance linguistique par racines/lemmes pour '"), "trigger", F.lit("' avec les racines detectees "), python_list(F.col("overlap")), F.lit("."))
+    )
+    return _finish(rows, keys, config, F.when(lex, "lexical").otherwise("linguistic"), F.col("method_seq"), F.when(lex, 0.62).otherwise(0.52), said)
+
+
+def lexical(sentences: DataFrame, config: Config, keys: Sequence[str]) -> DataFrame:
+    return exact(sentences, config, keys, ("lexical",))
+
+
+def linguistic(sentences: DataFrame, config: Config, keys: Sequence[str]) -> DataFrame:
+    return exact(sentences, config, keys, ("linguistic",))
+
+
+def _none(sentences: DataFrame, config: Config, keys: Sequence[str]) -> DataFrame:
+    """No evidence, with its columns."""
+    rows = sentences.limit(0).withColumns({"cat_ord": F.lit(0), "term_ord": F.lit(0), "trigger": F.lit(""), "matched_variant": F.lit("")})
+    return _finish(rows, keys, config, F.lit(""), F.lit(0), F.lit(0.0), F.lit(""))
 
 
 def gram_rows(sentences: DataFrame, config: Config, keys: Sequence[str]) -> DataFrame:
@@ -116,7 +139,7 @@ def fuzzy(sentences: DataFrame, config: Config, keys: Sequence[str]) -> DataFram
     """
     terms = config.lexicon()
     if not terms or config.fuzzy.get("enabled", True) is False:
-        return _finish(sentences.limit(0).withColumns({"cat_ord": F.lit(0), "term_ord": F.lit(0), "trigger": F.lit(""), "matched_variant": F.lit("")}), keys, config, "fuzzy", 1, F.lit(0.0), F.lit(""))
+        return _none(sentences, config, keys)
     threshold, delta = config.fuzzy_threshold, config.fuzzy_delta
     grams = gram_rows(sentences, config, keys)
     pairs = possible_pairs(grams.select("gram", "n").distinct(), terms, threshold, delta)
@@ -127,7 +150,7 @@ def fuzzy(sentences: DataFrame, config: Config, keys: Sequence[str]) -> DataFram
     best = best.select(*keys, "sentence_index", "term_id", F.col("_b.similarity").alias("similarity"), F.col("_b.gram").alias("matched_variant"))
     found = best.join(F.broadcast(table), "term_id").join(sentences.select(*keys, "sentence_index", "sentence", "norm"), [*keys, "sentence_index"]).where(~F.contains("norm", F.col("term_norm")))
     text = F.concat(F.lit("Approximation fuzzy entre '"), "trigger", F.lit("' et '"), "matched_variant", F.lit("' avec une similarite de "), F.col("similarity").cast("string"), F.lit("."))
-    return _finish(found, keys, config, "fuzzy", 1, F.col("similarity") / 100 * 0.7, text)
+    return _finish(found, keys, config, F.lit("fuzzy"), F.lit(1), F.col("similarity") / 100 * 0.7, text)
 
 
 def semantic(sentences: DataFrame, config: Config, keys: Sequence[str], encoder: Callable[[Column], Column] | None = None, anchors: DataFrame | None = None) -> DataFrame:
@@ -137,7 +160,7 @@ def semantic(sentences: DataFrame, config: Config, keys: Sequence[str], encoder:
     without a model. Distinct sentences are encoded once. anchors: cat_ord, anchor_ord, anchor, vector; else they are encoded.
     """
     if encoder is None:
-        return fuzzy(sentences.limit(0), config.with_(fuzzy={"enabled": False}), keys).withColumn("method", F.lit("semantic"))
+        return _none(sentences, config, keys)
     spark = sentences.sparkSession
     if anchors is None:
         rows = [(c.cat_ord, n, a) for c in config.categories for n, a in enumerate(c.semantic_anchors)]
@@ -146,7 +169,7 @@ def semantic(sentences: DataFrame, config: Config, keys: Sequence[str], encoder:
     near = nearest_anchor(vectors, anchors, "sentence", "_v").where(F.col("similarity") >= config.semantic_threshold)
     found = sentences.join(near, "sentence").withColumns({"trigger": F.col("anchor"), "matched_variant": F.col("sentence"), "term_ord": F.lit(0), "_s": F.col("similarity")}).withColumn("similarity", F.round("similarity", 4))
     text = F.concat(F.lit("Proximite semantique entre la phrase et l'ancre '"), "anchor", F.lit("' avec une similarite de "), F.format_number("_s", 3), F.lit("."))
-    return _finish(found, keys, config, "semantic", 3, F.col("_s"), text)
+    return _finish(found, keys, config, F.lit("semantic"), F.lit(3), F.col("_s"), text)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -169,11 +192,10 @@ DETECTORS: dict[str, Callable[..., DataFrame]] = {"lexical": lexical, "fuzzy": f
 
 def detect(sentences: DataFrame, config: Config, keys: Sequence[str], detectors: Sequence[str | Callable[..., DataFrame]] = tuple(DETECTORS)) -> DataFrame:
     """Evidence of all detectors, united; a detector of one's own is a function (sentences, config, keys) -> evidence."""
-    out = None
-    for d in detectors:
-        found = (DETECTORS[d] if isinstance(d, str) else d)(sentences, config, keys)
-        out = found if out is None else out.unionByName(found)
-    return out
+    one_pass = tuple(d for d in detectors if d in ("lexical", "linguistic"))
+    frames = [exact(sentences, config, keys, one_pass)] if one_pass else []
+    frames += [(DETECTORS[d] if isinstance(d, str) else d)(sentences, config, keys) for d in detectors if d not in one_pass]
+    return reduce(DataFrame.unionByName, frames)
 
 
 def deduplicate(evidence: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -120,13 +120,20 @@ def possible_pairs(grams: DataFrame, terms: Sequence[Term], threshold: float, de
     total = F.col("_chars") + F.col("chars")
     near = F.ceil(total * (1 - threshold / 100) + 1e-9).cast("int")
     near_sorted = F.ceil(total * (1 - min(1.0, threshold / 95)) + 1e-9).cast("int")
-    apart = F.greatest("_chars", "chars") >= 1.5 * F.least("_chars", "chars")
+    apart = F.lit(True)
     if threshold > 85.5 and threshold / 0.9 > 95:
         # Only 0.9 * partial can count. A partial ratio of p needs 2 * lcs / (n + w) >= p for a window of w <= n characters;
         # with fewer than (2 - p) / (2 - 2p) characters, one missing is too many, so the shorter is a substring.
         short = F.least("_chars", "chars")
         inside = F.contains(F.col("gram"), F.col("norm")) | F.contains(F.col("norm"), F.col("gram"))
         p = threshold / 90
-        apart = apart & (inside | (short >= (2 - p) / (2 * (1 - p)) - 1e-9) if p < 1 else inside)
-    keep = ((~(F.greatest("_chars", "chars") >= 1.5 * F.least("_chars", "chars"))) & ((F.levenshtein("gram", "norm", 64) <= near) & (F.levenshtein("gram", "norm", 64) >= 0) | (F.levenshtein("_sorted", "sorted", 64) <= near_sorted) & (F.levenshtein("_sorted", "sorted", 64) >= 0) | F.arrays_overlap("_words", "words"))) | apart
+        apart = (inside | (short >= (2 - p) / (2 * (1 - p)) - 1e-9) if p < 1 else inside)
+    # A bound on every distance that can count, so that the distance is only computed near the diagonal; beyond it is -1.
+    bound = int(2.5 * max((len(t.norm) for t in terms), default=0) * (1 - min(1.0, threshold / 100)) + 2)
+    distance = lambda x, y: F.pmod(F.levenshtein(x, y, bound), F.lit(10_000))
+    gap = F.abs(F.col("_chars") - F.col("chars"))
+    several = (F.col("n") > 1) | (F.col("size") > 1)
+    alike = ((gap <= near) & (distance("gram", "norm") <= near)) | (several & (((gap <= near_sorted) & (distance("_sorted", "sorted") <= near_sorted)) | F.arrays_overlap("_words", "words")))
+    far = F.greatest("_chars", "chars") >= 1.5 * F.least("_chars", "chars")
+    keep = (~far & alike) | (far & apart)
     return pairs.where(keep).select("gram", "n", "term_id", "norm")

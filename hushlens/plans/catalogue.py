@@ -13,6 +13,7 @@ from hushlens.operators import analytics, detect, score
 from hushlens.operators.report import FINDINGS
 from hushlens.plans import sql
 from hushlens.plans.pipeline import Analysis, sentences
+from hushlens.sources.tables import read_table, widened
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEYS = ("chunk_key",)
@@ -20,8 +21,13 @@ KEYS = ("chunk_key",)
 EXACT = ("lexical", "linguistic")
 
 
+#: Tables whose texts are worked on.
+TEXTS = ("chunks", "sentences", "documents")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = read_table(spark, sf, name)
+    return widened(df) if name in TEXTS else df
 
 
 def config(spark: SparkSession, sf: str) -> Config:
