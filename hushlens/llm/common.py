@@ -13,13 +13,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from hushlens.sources.tables import read_table, widened
+
 #: Where the public tokenizers' vocabulary files are; every operator takes the path as a parameter.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of the data directory."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts are worked on in Python or by many patterns: over all cores even if it is one small file."""
+    return widened(read_table(spark, sf_dir, name))
 
 
 def small_side(df: DataFrame, max_rows: int = 10_000) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import canon, mix, mojibake, pack, pii, residue, sentences, split, topn
-from .common import table, union
+from .common import table, texts, union
 
 #: Secret of the pseudonyms in the registered query; a deployment passes its own.
 SECRET = "hushlens"
@@ -26,16 +26,16 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     shapes = pii.train(table(spark, sf, "persons"))
-    chunks = pii.items(table(spark, sf, "chunks"), shapes, key="chunk_key", text="text")
-    findings = pii.items(table(spark, sf, "article9_findings"), shapes, key="finding_id", text="excerpt")
+    chunks = pii.items(texts(spark, sf, "chunks"), shapes, key="chunk_key", text="text")
+    findings = pii.items(texts(spark, sf, "article9_findings"), shapes, key="finding_id", text="excerpt")
     both = chunks.select(F.lit("chunks").alias("tab"), F.col("chunk_key").alias("row_id"), "pii_type", "start_char")
     return both.unionAll(findings.select(F.lit("article9_findings"), "finding_id", "pii_type", "start_char"))
 
 
 def p2_masked(spark: SparkSession, sf: str) -> DataFrame:
     shapes = pii.train(table(spark, sf, "persons"))
-    chunks = pii.masked(table(spark, sf, "chunks"), shapes, key="chunk_key", text="text", secret=SECRET)
-    findings = pii.masked(table(spark, sf, "article9_findings"), shapes, key="finding_id", text="excerpt", secret=SECRET)
+    chunks = pii.masked(texts(spark, sf, "chunks"), shapes, key="chunk_key", text="text", secret=SECRET)
+    findings = pii.masked(texts(spark, sf, "article9_findings"), shapes, key="finding_id", text="excerpt", secret=SECRET)
     both = chunks.select(F.lit("chunks").alias("tab"), F.col("chunk_key").alias("row_id"), "masked_text")
     return both.unionAll(findings.select(F.lit("article9_findings"), "finding_id", "masked_text"))
 
@@ -65,8 +65,8 @@ def p4_ranked(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_restored(spark: SparkSession, sf: str) -> DataFrame:
     model = mojibake.train(table(spark, sf, "documents"))
-    chunks = mojibake.restore(table(spark, sf, "chunks"), model, key="chunk_key", text="text")
-    findings = mojibake.restore(table(spark, sf, "article9_findings"), model, key="finding_id", text="excerpt")
+    chunks = mojibake.restore(texts(spark, sf, "chunks"), model, key="chunk_key", text="text")
+    findings = mojibake.restore(texts(spark, sf, "article9_findings"), model, key="finding_id", text="excerpt")
     both = chunks.select(F.lit("chunks").alias("tab"), F.col("chunk_key").alias("row_id"), "garbled", "restored", "chain")
     return both.unionAll(findings.select(F.lit("article9_findings"), "finding_id", "garbled", "restored", "chain"))
 
@@ -76,13 +76,13 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = [canon.look_alikes(table(spark, sf, name), key=key).select(F.lit(name).alias("tab"), "id_a", "id_b") for name, key in (("chunks", "chunk_key"), ("sentences", "sentence_id"))]
+    pairs = [canon.look_alikes(texts(spark, sf, name), key=key).select(F.lit(name).alias("tab"), "id_a", "id_b") for name, key in (("chunks", "chunk_key"), ("sentences", "sentence_id"))]
     return union(pairs)
 
 
 def p6_canonical(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = table(spark, sf, "chunks").select(F.lit("chunks.text").alias("field"), F.col("chunk_key").alias("row_id"), canon.canonical_text(F.col("text")).alias("form"))
-    rows = table(spark, sf, "sentences")
+    chunks = texts(spark, sf, "chunks").select(F.lit("chunks.text").alias("field"), F.col("chunk_key").alias("row_id"), canon.canonical_text(F.col("text")).alias("form"))
+    rows = texts(spark, sf, "sentences")
     texts = rows.select(F.lit("sentences.text").alias("field"), F.col("sentence_id").alias("row_id"), canon.canonical_text(F.col("text")).alias("form"))
     norms = rows.select(F.lit("sentences.normalized_text").alias("field"), F.col("sentence_id").alias("row_id"), canon.canonical_text(F.col("normalized_text")).alias("form"))
     return union([chunks, texts, norms])
@@ -114,11 +114,11 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    return residue.residue(table(spark, sf, "documents")).select("doc_id")
+    return residue.residue(texts(spark, sf, "documents")).select("doc_id")
 
 
 def p9_clean(spark: SparkSession, sf: str) -> DataFrame:
-    documents = table(spark, sf, "documents")
+    documents = texts(spark, sf, "documents")
     return residue.without_residue(documents, residue.residue(documents)).select("doc_id", "n_chars")
 
 
