@@ -235,10 +235,7 @@ def _names(plain: str, shapes: Shapes, taken: list, take) -> None:
                 b = a + len(plain[a:b].rstrip())
                 others.append([a, b])
     for a, b in spans:
-        before = plain[max(0, a - 24) : a]
-        m = _INITIAL_BEFORE.search(before) or _PARTICLE_BEFORE.search(before)
-        if m and not (m.group().strip().lower() in _SMALL and not m.group()[0].isupper() and not _NAME_PARTICLES.fullmatch(m.group().strip())):
-            a -= len(before) - m.start()
+        a -= _before(plain[max(0, a - 48) : a])
         m = _INITIAL_AFTER.match(plain, b)
         if m:
             b = m.end()
@@ -247,8 +244,25 @@ def _names(plain: str, shapes: Shapes, taken: list, take) -> None:
         take(a, b, "name")
 
 
-_SMALL = frozenset("de du des le la di da del d' l'".split())
-_NAME_PARTICLES = re.compile(r"van(?: de[rn])?|von(?: der)?|ter|ten|zu")
+def _before(text: str) -> int:
+    """How many characters before a name word belong to the name: initials and particles, titles not."""
+    m = _INITIAL_BEFORE.search(text)
+    if m:
+        head, rest = text[: m.start()], m.group()
+        if rest.startswith("M.") and not _EXPECTS_NAME.search(head):
+            rest = rest[2:].lstrip(" -\n")  # here M. is a title
+        return len(rest)
+    m = _PARTICLE_BEFORE.search(text)
+    if m and (m.group().strip() not in _SMALL or _EXPECTS_NAME.search(text[: m.start()])):
+        return len(text) - m.start()
+    return 0
+
+
+#: Particles that are ordinary words as well; they belong to a name only where one is expected.
+_SMALL = frozenset("de du des le la di da del d' l' ter ten zu".split())
+_EXPECTS_NAME = re.compile(
+    rf"(?:(?<![{_L}.]){TITLES}|(?:Nom|Assur\S{{1,3}}|Souscript\S+|Conjointe?|Contact|Titulaire|Name|Nombre|Prénom|nom)[^\S\n]?[:=]|\"[a-z]+\":[^\S\n]*\"|soussignée?|(?:bénéficiaire|beneficiario|beneficiaria|Person|insured,?|Conjoint)\s+(?:est|es|ist|is)|insured,)\s*$"
+)
 
 
 def replace(text: str, shapes: Shapes, key: bytes, dates: bool = False) -> str:

@@ -31,6 +31,8 @@ CASES = [
     ("Il reste 3 places de parking rue barrée.", []),
     ("Assuré : ROSGOBERT Thélomir\nMme la conseillère, Frau Direktorin", [("name", "ROSGOBERT Thélomir")]),
     ("Joindre Dr N. van Pelremont, puis M. Dupont à Norvanemont-sur-Ive", [("name", "N. van Pelremont"), ("name", "Dupont")]),
+    ("Joindre M. Norvane Tamlignard, Mme de Rosgobert, M. M. Silremont. Nom: M. Pelsaulin\nM. O. Quengobert", [("name", "Norvane Tamlignard"), ("name", "de Rosgobert"), ("name", "M. Silremont"), ("name", "M. Pelsaulin"), ("name", "O. Quengobert")]),
+    ("l'agence de Norvane, Fanlomir de Tamlignard, Fandaste", [("name", "Norvane"), ("name", "Fanlomir de Tamlignard"), ("name", "Fandaste")]),
     ("rue 5, 12 rue Oridaste Tamlignard, 75001 Paris", [("address", "12 rue Oridaste Tamlignard, 75001 Paris")]),
 ]
 
