@@ -35,18 +35,18 @@ def findings(evidence: DataFrame, results: DataFrame, keys: Sequence[str]) -> Da
     )
 
 
-def summary(results: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per file. Categories are added up per chunk first, so chunks are counted once."""
+def summary(results: DataFrame, first_category: int) -> DataFrame:
+    """One row per file, in one aggregation: each chunk has exactly one row of the first category, which counts the chunks.
+
+    The set of shown scores has at most 101 members a category, however many chunks a file has.
+    """
     flagged = F.col("decision") != "clear"
     shown = F.when(flagged, F.concat("category_key", F.lit(":"), T.two_places(F.col("score"))))
-    per_chunk = results.groupBy(*dict.fromkeys((*keys, "file_path", "file_name", "file_type"))).agg(
-        F.sum(F.when(flagged, F.col("n_evidence")).otherwise(0)).alias("n"), F.max(F.when(flagged, F.col("score"))).alias("best"),
-        F.max(F.when(F.col("decision") == "alert", 2).when(F.col("decision") == "review", 1).otherwise(0)).alias("risk"), F.collect_set(shown).alias("shown"),
-    )
-    per_file = per_chunk.groupBy("file_path").agg(
-        F.min("file_name").alias("file_name"), F.min("file_type").alias("file_type"), F.count(F.lit(1)).alias("chunk_count"), F.sum("n").alias("finding_count"),
-        F.round(F.coalesce(F.max("best"), F.lit(0.0)), 4).alias("max_score"), F.element_at(F.array(*map(F.lit, ("clear", "review", "alert"))), F.max("risk") + 1).alias("max_risk_level"),
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("shown")))), "|").alias("top_categories"),
+    risk = F.when(F.col("decision") == "alert", 2).when(F.col("decision") == "review", 1).otherwise(0)
+    per_file = results.groupBy("file_path").agg(
+        F.min("file_name").alias("file_name"), F.min("file_type").alias("file_type"), F.count_if(F.col("cat_ord") == first_category).alias("chunk_count"),
+        F.sum(F.when(flagged, F.col("n_evidence")).otherwise(0)).alias("finding_count"), F.round(F.coalesce(F.max(F.when(flagged, F.col("score"))), F.lit(0.0)), 4).alias("max_score"),
+        F.element_at(F.array(*map(F.lit, ("clear", "review", "alert"))), F.max(risk) + 1).alias("max_risk_level"), F.array_join(F.array_sort(F.collect_set(shown)), "|").alias("top_categories"),
     )
     return per_file.withColumns({"status": F.lit("ok"), "error_message": F.lit("")}).select(*SUMMARY)
 

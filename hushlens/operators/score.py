@@ -62,7 +62,7 @@ def decide(score: Column, config: Config) -> Column:
 
 def category_results(chunks: DataFrame, scores: DataFrame, config: Config, keys: Sequence[str]) -> DataFrame:
     """One row per chunk and category, those without evidence with score 0.0."""
-    listed = chunks.sparkSession.createDataFrame([(c.cat_ord, c.key, c.label) for c in config.categories], "cat_ord int, category_key string, category_label string")
-    rows = chunks.crossJoin(F.broadcast(listed)).join(scores, [*keys, "cat_ord"], "left")
+    listed = F.array(*(F.struct(F.lit(c.cat_ord).alias("cat_ord"), F.lit(c.key).alias("category_key"), F.lit(c.label).alias("category_label")) for c in config.categories))
+    rows = chunks.select("*", F.explode(listed).alias("_c")).select(*chunks.columns, "_c.*").join(scores, [*keys, "cat_ord"], "left")
     rows = rows.withColumns({"score": F.coalesce("score", F.lit(0.0)), "n_evidence": F.coalesce("n_evidence", F.lit(0)), "explanation": F.coalesce("explanation", F.lit(NO_EVIDENCE))})
     return rows.withColumn("decision", decide(F.col("score"), config))

@@ -72,7 +72,7 @@ class Analysis:
 
     @property
     def summary(self) -> DataFrame:
-        return report.summary(self.results, self.keys)
+        return report.summary(self.results, self.config.categories[0].cat_ord)
 
     @property
     def audit(self) -> DataFrame:
