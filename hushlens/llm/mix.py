@@ -41,7 +41,8 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """Per source: target_share, max_repeats, total size of all rows (budget), own size, rows, demand, repeats needed, shortfall."""
     own = sizes.groupBy("_source").agg(F.sum("tokens").alias("own_tokens"), F.count(F.lit(1)).alias("n_rows"))
     goal = targets.select(F.col("source"), source_key(F.col("source")).alias("_source"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"))
-    out = goal.join(own, "_source", "left").crossJoin(F.broadcast(own.agg(F.coalesce(F.sum("own_tokens"), F.lit(0)).alias("budget"))))
+    budget = own.agg(F.sum("own_tokens")).first()[0] or 0
+    out = goal.join(own, "_source", "left").withColumn("budget", F.lit(budget).cast("long"))
     out = out.withColumns({"own_tokens": F.coalesce("own_tokens", F.lit(0)), "n_rows": F.coalesce("n_rows", F.lit(0)), "demand": F.col("target_share") * F.col("budget")})
     needed = F.when(F.col("own_tokens") > 0, F.ceil(F.col("demand") / F.col("own_tokens"))).otherwise(0)
     return out.withColumns({"repeats": F.least(needed, F.col("max_repeats")).cast("int"), "short": F.col("own_tokens") * F.col("max_repeats") < F.col("demand")})
