@@ -23,6 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .canon import ALIKE, TABLE
 from .common import map_columns, spread, transposed
 
 # Events
@@ -111,12 +112,13 @@ COMPANY = frozenset(("corp", "inc", "co", "ltd", "sa", "cie"))
 ORDINAL_BEFORE = frozenset("am die der das den dem des vom zum im zur bis seit ab beim ins dieser diese dieses jede jeder ihre seine".split())
 MONTHS_DE = ("Jan", "Feb", "März", "Apr", "Mai", "Juni", "Juli", "Aug", "Sep", "Okt", "Nov", "Dez")
 
+_PLAIN = str.maketrans({**TABLE, **ALIKE})
 _BLANK = re.compile(r"\s*")
 _WORD_BEFORE = re.compile(r"(?:[^\W_]|[.º°\-'’ऀ-ॿ])+$")
 _TWO_BEFORE = re.compile(r"([^\W\d_]+)\s+\d{1,2}$")
 _DIGIT_BEFORE = re.compile(r"\d\s*[A-Z]$")
 _PARA = re.compile(r"\n[^\S\n]*\n\s*")
-_ITEM = re.compile(r"[^\S\n]*(?:[-*•‣▪–]|\d{1,3}[.)]|[a-z]\))[^\S\n]+\S")
+_ITEM = re.compile(r"[^\S\n]*(?:[-*•‣▪–‐‑‒−]|\d{1,3}[.)]|[a-z]\))[^\S\n]+\S")
 _HEAD = re.compile(r"[^\S\n]*#{1,6}[^\S\n]+\S")
 _EVENT = re.compile(r"[.!?…。！？｡।॥؟۔]+|[«»“”„\"「」『』‹›]|[(（\[［]|[)）\]］]|[^.!?…。！？｡।॥؟۔«»“”„\"「」『』‹›(（\[［)）\]］\s]+|\s+")
 _FULL = frozenset("。！？｡।॥؟۔")
@@ -151,7 +153,10 @@ def _after(text: str, at: int, end: int, go: int, fin: int, caseless: int) -> in
 
 def _stop(text: str, start: int, at: int, end: int) -> bool:
     """Whether the single full stop at text[at] belongs to an abbreviation, number or initial."""
-    before = _WORD_BEFORE.search(text, max(start, at - 24), at)
+    near = text[max(start, at - 28) : at]
+    if not near.isascii():  # invisible characters, wide forms and look-alikes hide no abbreviation
+        near = near.translate(_PLAIN)
+    before = _WORD_BEFORE.search(near)
     if not before:
         return False
     word = before.group()
@@ -165,9 +170,9 @@ def _stop(text: str, start: int, at: int, end: int) -> bool:
     if c.isdigit() and low in BEFORE_DIGIT:
         return True
     if len(low) == 1 and low.isalpha():
-        return (c.isupper() and not _DIGIT_BEFORE.search(text, max(start, at - 8), at)) or word.islower()
+        return (c.isupper() and not _DIGIT_BEFORE.search(near)) or word.islower()
     if word.isdigit() and len(word) <= 2:
-        two = _TWO_BEFORE.search(text, max(start, at - 24), at)
+        two = _TWO_BEFORE.search(near)
         return bool(two and two.group(1).lower() in ORDINAL_BEFORE) or text.startswith(MONTHS_DE, k)
     return False
 

@@ -32,6 +32,13 @@ def test_structure():
     assert [text[a:b] for a, b in S.units(text)] == ["# Note de suivi", "Une phrase coupée\nen deux lignes.", "Une autre.", "- Relire la notice. Vite", "2. Classer", "ผู้รับยังไม่ได้ลงชื่อ", "ลูกค้าส่งแล้ว"]
 
 
+def test_disguised_abbreviations():
+    text = "Le prix (réf\u200d. X1) suit l'аrt\xad. 12 dеs ｐ. 3. Fin\u200b. M\u2060. Dupont vint."
+    assert [text[a:b] for a, b in S.units(text)][1:] == ["Fin\u200b.", "M\u2060. Dupont vint."]
+    assert len(S.units(text)) == 3
+    assert [a for a, _ in S.units("Texte\n\n\u2011 Relire la\u2005notice\n\u2011 Classer")] == [0, 7, 26]
+
+
 def test_scan_equals_walk():
     rng = random.Random(5)
     for n in (0, 1, 63, 64, 65, 5000):
