@@ -58,8 +58,8 @@ NINO = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}([ \-]?)\d\d\1\d\d\1\d\d\1[A-D](?![A
 SVNR = re.compile(r"(?<![A-Za-z0-9])\d{2}[ ]?(?:0[1-9]|[12]\d|3[01])(?:0[1-9]|1[0-2])\d\d[ ]?[A-Z][ ]?\d{3}(?![A-Za-z0-9])")
 CARD = re.compile(r"(?<![A-Za-z0-9\-])\d{2}[ ]?[A-Z]{2}[ ]?\d{5}(?![A-Za-z0-9\-])")
 DOCUMENT = re.compile(
-    r"(?:passe?ports?|pass(?:nummer|-?nr\.?)|reisepass|personalausweis|ausweis|pasaporte|(?<!\w)dni|(?<!\w)nie|(?<!\w)cni|carte (?:nationale )?d['’]identité|identity card|id card|documento de identidad|titre de séjour)"
-    r"[^\S\n]*(?:n[°º]\.?|nr\.|no\.|nr(?=\s)|no(?=\s)|num(?:éro|ero)?\.?|number|nummer|:|\s)*[:#]?\s*"
+    r"(?:passe?ports?|pass(?:nummer|-?nr\.?)|reisepass|personalausweis|ausweis|pasaporte|(?<!\w)dni|(?<!\w)nie|(?<!\w)cni|carte (?:nationale )?d['’]identit[^\s\d]{1,8}|identity card|id card|documento de identidad|titre de séjour)"
+    r"[^\S\n]*(?:n(?:[^\s\w]|[ÂÃâ]){1,6}|nr\.|no\.|nr(?=\s)|no(?=\s)|num(?:éro|ero)?\.?|number|nummer|:|\s)*[:#]?\s*"
     r"(?P<n>(?-i:(?=[A-Z\d ]*\d)[A-Z\d]{1,3}(?:[ ]?[A-Z\d]{2,9}){1,3}(?![A-Za-zÀ-ɏ\d])))",
     re.I,
 )
