@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable
 from functools import lru_cache
@@ -36,7 +37,8 @@ MAX_PERSONS = 100_000
 _AT = r"(?:\s?@\s?|\s*[(\[{<]\s*(?:at|arobase|arroba|ät)\s*[)\]}>]\s*|\s+(?:arobase|arroba|at|ät)\s+)"
 _DOT = r"(?:\.|\s*[(\[{<]\s*(?:dot|point|punkt|punto)\s*[)\]}>]\s*|\s+(?:dot|point|punkt|punto)\s+)"
 EMAIL = re.compile(rf"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*{_AT}(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?{_DOT})+(?!(?:png|jpe?g|gif|svg|webp|pdf|bmp|tiff?)(?![A-Za-z]))[A-Za-z]{{2,}}(?![A-Za-z0-9\-])", re.I)
-EMAIL_HINT = re.compile(r"@|arobase|arroba|[(\[{<]\s*(?:at|ät)\s*[)\]}>]|\s(?:at|ät)\s[^\n]{1,60}?\s?(?:dot|punkt)\s", re.I)
+#: Hints are looked for in lower case.
+EMAIL_HINT = re.compile(r"@|arobase|arroba|[(\[{<]\s*(?:at|ät)\s*[)\]}>]|\s(?:at|ät)\s[^\n]{1,60}?\s?(?:dot|punkt)\s")
 
 PHONE = re.compile(
     r"(?<![A-Za-zÀ-ɏ\d_+.,/])(?<!\d[ -])(?:"
@@ -57,6 +59,8 @@ NIR = re.compile(r"(?<![A-Za-zÀ-ɏ\d_.,\-])[1-478](?P<s>[\s.\-]?)\d\d(?P=s)\d\d
 NINO = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}([ \-]?)\d\d\1\d\d\1\d\d\1[A-D](?![A-Za-z0-9])")
 SVNR = re.compile(r"(?<![A-Za-z0-9])\d{2}[ ]?(?:0[1-9]|[12]\d|3[01])(?:0[1-9]|1[0-2])\d\d[ ]?[A-Z][ ]?\d{3}(?![A-Za-z0-9])")
 CARD = re.compile(r"(?<![A-Za-z0-9\-])\d{2}[ ]?[A-Z]{2}[ ]?\d{5}(?![A-Za-z0-9\-])")
+#: Two letters or two digits that one of the three may begin with.
+ID_HINT = re.compile(r"(?<![A-Za-z0-9])(?:[A-Z]{2}[ \-]?\d\d[ \-]?\d\d|\d\d ?[A-Z]{2} ?\d{5}|\d\d ?\d{6} ?[A-Z])")
 DOCUMENT = re.compile(
     r"(?:passe?ports?|pass(?:nummer|-?nr\.?)|reisepass|personalausweis|ausweis|pasaporte|(?<!\w)dni|(?<!\w)nie|(?<!\w)cni|carte (?:nationale )?d['’]identit[^\s\d]{1,8}|identity card|id card|documento de identidad|titre de séjour)"
     r"[^\S\n]*(?:n(?:[^\s\w]|[ÂÃâ]){1,6}|nr\.|no\.|nr(?=\s)|no(?=\s)|num(?:éro|ero)?\.?|number|nummer|:|\s)*[:#]?\s*"
@@ -77,11 +81,11 @@ ADDRESS = [
     re.compile(r"(?<![\w/])(?:calle|c/|avenida|avda\.?|plaza|plza\.|paseo|pº|camino|carretera|ronda|travesía|glorieta)\s*(?:(?:de|del|la|las|los|el)\s+){0,3}[A-ZÁÉÍÓÚÑ][\w'’\-]*(?:\s+(?:de|del|la|las|los|el|y|[A-ZÁÉÍÓÚÑ][\w'’\-]*)){0,5}(?:\s*,\s*(?:n[.\s]{0,2}[º°o]\s*)?|\s+n[.\s]{0,2}[º°o]\s*)\d{1,4}(?![\d/])(?:\s*,\s*\d{5}\s+[A-ZÁÉÍÓÚÑ][\w'’\-]+)?", re.I),
 ]
 ADDRESS_HINT = [
-    re.compile(rf"(?<!\w){_FR_TYPE}\s", re.I),
-    re.compile(r"lieu-?dit", re.I),
-    re.compile(r"(?:Road|Rd|Lane|Ln|Street|St|Close|Avenue|Ave|Drive|Dr|Way|Court|Ct|Square|Sq|Terrace|Crescent|Gardens|Row|Hill|Place|Grove)\b"),
-    re.compile(r"(?:straße|strasse|str\.|gasse|weg|platz|allee|ring|damm|ufer|steig|hof|markt|haus|Straße|Weg|Platz|Allee|Gasse)\s\d"),
-    re.compile(r"(?<!\w)(?:calle|c/|avenida|avda|plaza|paseo|camino|carretera|ronda)", re.I),
+    re.compile(rf"(?<!\w){_FR_TYPE}\s"),
+    re.compile(r"lieu-?dit"),
+    re.compile(r"(?:road|rd|lane|ln|street|st|close|avenue|ave|drive|dr|way|court|ct|square|sq|terrace|crescent|gardens|row|hill|place|grove)\b"),
+    re.compile(r"(?:straße|strasse|str\.|gasse|weg|platz|allee|ring|damm|ufer|steig|hof|markt|haus)\s\d"),
+    re.compile(r"(?<!\w)(?:calle|c/|avenida|avda|plaza|paseo|camino|carretera|ronda)"),
 ]
 
 # Titles, roles that follow a title without being names, particles, labels.
@@ -174,30 +178,32 @@ def find(text: str, shapes: Shapes) -> list[tuple[int, int, str]]:
     plain, at = _mapped(text)
     taken: list[tuple[int, int, str]] = []
 
-    def free(a: int, b: int) -> bool:
-        return all(b <= s or a >= e for s, e, _ in taken)
+    starts: list[int] = []
 
     def take(a: int, b: int, kind: str) -> None:
-        if free(a, b):
-            taken.append((a, b, kind))
+        i = bisect_right(starts, a)
+        if (not i or taken[i - 1][1] <= a) and (i == len(starts) or starts[i] >= b):
+            starts.insert(i, a)
+            taken.insert(i, (a, b, kind))
 
-    if EMAIL_HINT.search(plain):
+    low = plain.lower()
+    if EMAIL_HINT.search(low):
         for m in EMAIL.finditer(plain):
             take(*m.span(), "email")
     digits = any(c in plain for c in "0123456789")
     if digits:
         for hint, pattern in zip(ADDRESS_HINT, ADDRESS):
-            if hint.search(plain):
+            if hint.search(low):
                 for m in pattern.finditer(plain):
                     a, b = m.span()
                     take(a, a + len(plain[a:b].rstrip(" \n,-")), "address")
         for m in NIR.finditer(plain):
             if feistel.nir_valid(m.group()):
                 take(*m.span(), "id_number")
-        for pattern in (NINO, CARD, SVNR):
-            for m in pattern.finditer(plain):
-                take(*m.span(), "id_number")
-        low = plain.lower()
+        if ID_HINT.search(plain):
+            for pattern in (NINO, CARD, SVNR):
+                for m in pattern.finditer(plain):
+                    take(*m.span(), "id_number")
         if any(w in low for w in DOCUMENT_HINT):
             for m in DOCUMENT.finditer(plain):
                 take(*m.span("n"), "id_number")
@@ -205,7 +211,6 @@ def find(text: str, shapes: Shapes) -> list[tuple[int, int, str]]:
             if m.group()[0] != "0" or not _AMOUNT.match(plain, m.end()):
                 take(*m.span(), "phone")
     _names(plain, shapes, taken, take)
-    taken.sort()
     if at is not None:
         taken = [(at[a], at[b], kind) for a, b, kind in taken]
     return taken
@@ -214,6 +219,12 @@ def find(text: str, shapes: Shapes) -> list[tuple[int, int, str]]:
 _AMOUNT = re.compile(r"\s?(?:€|%|EUR|euros?)")
 
 
+def _overlaps(spans: list[list[int]], a: int, b: int) -> bool:
+    """Whether one of the spans, which are in order, overlaps a to b."""
+    i = bisect_left(spans, [b])
+    return i > 0 and spans[i - 1][1] > a
+
+
 def _names(plain: str, shapes: Shapes, taken: list, take) -> None:
     spans: list[list[int]] = []
     for m in _CAPITAL.finditer(plain):
@@ -231,7 +242,7 @@ def _names(plain: str, shapes: Shapes, taken: list, take) -> None:
         for m in pattern.finditer(plain):
             a, b = m.span(1)
             words = _WORD.findall(m.group(1))
-            if words and fold(words[0]) not in ROLES and words[0].lower() not in ROLES and (pattern is _LABELLED or not any(s < b and e > a for s, e in spans)):
+            if words and fold(words[0]) not in ROLES and words[0].lower() not in ROLES and (pattern is _LABELLED or not _overlaps(spans, a, b)):
                 b = a + len(plain[a:b].rstrip())
                 others.append([a, b])
     for a, b in spans:
