@@ -83,9 +83,9 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 def p6_canonical(spark: SparkSession, sf: str) -> DataFrame:
     chunks = texts(spark, sf, "chunks").select(F.lit("chunks.text").alias("field"), F.col("chunk_key").alias("row_id"), canon.canonical_text(F.col("text")).alias("form"))
     rows = texts(spark, sf, "sentences")
-    texts = rows.select(F.lit("sentences.text").alias("field"), F.col("sentence_id").alias("row_id"), canon.canonical_text(F.col("text")).alias("form"))
+    bodies = rows.select(F.lit("sentences.text").alias("field"), F.col("sentence_id").alias("row_id"), canon.canonical_text(F.col("text")).alias("form"))
     norms = rows.select(F.lit("sentences.normalized_text").alias("field"), F.col("sentence_id").alias("row_id"), canon.canonical_text(F.col("normalized_text")).alias("form"))
-    return union([chunks, texts, norms])
+    return union([chunks, bodies, norms])
 
 
 def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
