@@ -106,7 +106,8 @@ SAMPLES = (
 LONGEST_NOTICE = 200
 
 _FILLER_WORDS = "|".join(FILLER.split())
-_FILLER_LINE = rf"(?i)^\W*(?:(?:{_FILLER_WORDS})\W+){{2,}}(?:\w*\W*)$|^\W*(?:(?:{_FILLER_WORDS})\W+){{3,}}|(?:\W+(?:{_FILLER_WORDS})){{6,}}"
+_SIX = r"\W+".join([f"(?:{_FILLER_WORDS})"] * 6)  # spelt out, which Java matches faster than a counted group
+_FILLER_LINE = rf"^\W*(?:(?:{_FILLER_WORDS})\W+){{2,}}(?:\w*\W*)$|^\W*(?:(?:{_FILLER_WORDS})\W+){{3,}}|\W{_SIX}"
 _NOTICE_LINE = rf"(?i)^[\s>#*=-]*(?:[^.!?\n]{{0,40}}\s[-–|:]\s)?(?:{'|'.join(NOTICES)})|(?:^[\s>#*=-]*|[.!?]\s+)(?:{'|'.join(SAMPLES)})"
 _PLACEHOLDER = "|".join(PLACEHOLDERS)
 #: What every placeholder holds; one class, so that most lines are passed over quickly.
@@ -115,7 +116,7 @@ _HINT = r"[{\[<$#%_@«&]|:[A-Za-z]|XXXX"
 
 def trusted(line: Column) -> Column:
     """Whether a line is residue beyond doubt."""
-    return F.coalesce((line.rlike(_HINT) & line.rlike(_PLACEHOLDER)) | line.rlike(_FILLER_LINE) | ((F.length(line) <= LONGEST_NOTICE) & line.rlike(_NOTICE_LINE)), F.lit(False))
+    return F.coalesce((line.rlike(_HINT) & line.rlike(_PLACEHOLDER)) | F.lower(line).rlike(_FILLER_LINE) | ((F.length(line) <= LONGEST_NOTICE) & line.rlike(_NOTICE_LINE)), F.lit(False))
 
 
 def comparison_form(line: Column) -> Column:
