@@ -37,8 +37,8 @@ MAX_PERSONS = 100_000
 _AT = r"(?:\s?@\s?|\s*[(\[{<]\s*(?:at|arobase|arroba|ät)\s*[)\]}>]\s*|\s+(?:arobase|arroba|at|ät)\s+)"
 _DOT = r"(?:\.|\s*[(\[{<]\s*(?:dot|point|punkt|punto)\s*[)\]}>]\s*|\s+(?:dot|point|punkt|punto)\s+)"
 EMAIL = re.compile(rf"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*{_AT}(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?{_DOT})+(?!(?:png|jpe?g|gif|svg|webp|pdf|bmp|tiff?)(?![A-Za-z]))[A-Za-z]{{2,}}(?![A-Za-z0-9\-])", re.I)
-#: Hints are looked for in lower case.
-EMAIL_HINT = re.compile(r"@|arobase|arroba|[(\[{<]\s*(?:at|ät)\s*[)\]}>]|\s(?:at|ät)\s[^\n]{1,60}?\s?(?:dot|punkt)\s")
+#: Hints are looked for in lower case. Each is a part of what its pattern matches, so a text without it holds no match.
+EMAIL_HINT = re.compile(rf"@|arobase|arroba|[(\[{{<]\s*(?:at|ät)\s*[)\]}}>]|\s(?:at|ät)\s+[a-z0-9](?:[a-z0-9\-]*[a-z0-9])?{_DOT}")
 
 PHONE = re.compile(
     r"(?<![A-Za-zÀ-ɏ\d_+.,/])(?<!\d[ -])(?:"
@@ -72,20 +72,21 @@ DOCUMENT_HINT = ("pass", "ausweis", "pasaporte", "dni", "nie", "cni", "identit",
 
 _CITY = r"(?:(?:(?:Les?|La|L['’]|Saint|Sainte|St)[ \-]?)?[A-ZÀ-Þ][\w'’]*(?:-[\wÀ-ÿ'’]+)*(?: (?:[A-ZÀ-Þ][\w'’\-]+|sur|le|la|les|en|am|an|de|del) ?(?=[A-ZÀ-Þ\w])){0,0}(?:[ ][A-ZÀ-Þ]{2,}[\w'’\-]*)*)"
 _FR_TYPE = r"(?:rue|avenue|av\.?|boulevard|bd\.?|boul\.|quai|place|pl\.|impasse|imp\.|chemin|ch\.|allée|all\.|route|rte\.?|cours|square|sq\.|passage|sentier|ruelle|esplanade|promenade|faubourg|villa|cité|hameau|résidence|voie|montée)"
+_ES_TYPE = r"(?:calle|c/|avenida|avda\.?|plaza|plza\.|paseo|pº|camino|carretera|ronda|travesía|glorieta)"
 _POST_FR = rf"(?:\s*[,–\-]?\s*\n?\s*\d{{5}}\s+{_CITY})"
 ADDRESS = [
     re.compile(rf"(?<![\w/.,\-])\d{{1,4}}(?:\s?(?:bis|ter|quater|[A-Da-d]))?\s*,?\s+{_FR_TYPE}\s+(?=[^\W\d_])(?:(?!\d{{5}})[^\n,;:.()<>\"«»|–]|\n(?=[^\W\d_]))(?:(?!\s*[,–]|\s-\s|\s*\d{{5}})[^,;:.()<>\"«»|\n]|\n(?=\d{{5}}|[^\W\d_])(?!\w+ ?:)){{2,48}}{_POST_FR}?", re.I),
     re.compile(rf"(?<![\w/.\-])lieu-?dit\s+(?:(?!\s*[,–]|\s-\s|\s*\d{{5}})[^\n,;:.()<>\"]|\n(?=[^\W\d_])){{2,40}}{_POST_FR}?", re.I),
     re.compile(r"(?<![\w/.,\-])\d{1,4}[A-Da-d]?,?\s+(?:[A-Z][\w'’\-]+\s+){1,4}(?:Road|Rd|Lane|Ln|Street|St|Close|Avenue|Ave|Drive|Dr|Way|Court|Ct|Square|Sq|Terrace|Crescent|Gardens|Row|Hill|Place|Grove)\b\.?(?:\s*,\s*[A-Z][\w'’\-]+)?(?:\s*,?\s*[A-Z]{1,2}\d[A-Z\d]?\s?\d[A-Z]{2})?"),
     re.compile(r"(?<![\w\-])(?:(?:Am|An der|An den|Auf dem|Auf der|Im|In der|Zum|Zur|Unter den|Hinter dem|Bei der)\s+)?(?:[A-ZÄÖÜ][\w\-]+\s+){0,2}?(?:[A-ZÄÖÜ][\wäöüß\-]*(?:straße|strasse|str\.|gasse|weg|platz|allee|ring|damm|ufer|steig|hof|markt|haus)|Straße|Weg|Platz|Allee|Gasse)\s+\d{1,4}\s?[a-d]?(?![\d.])(?:\s*,\s*\d{5}\s+[A-ZÄÖÜ][\w\-]+)?"),
-    re.compile(r"(?<![\w/])(?:calle|c/|avenida|avda\.?|plaza|plza\.|paseo|pº|camino|carretera|ronda|travesía|glorieta)\s*(?:(?:de|del|la|las|los|el)\s+){0,3}[A-ZÁÉÍÓÚÑ][\w'’\-]*(?:\s+(?:de|del|la|las|los|el|y|[A-ZÁÉÍÓÚÑ][\w'’\-]*)){0,5}(?:\s*,\s*(?:n[.\s]{0,2}[º°o]\s*)?|\s+n[.\s]{0,2}[º°o]\s*)\d{1,4}(?![\d/])(?:\s*,\s*\d{5}\s+[A-ZÁÉÍÓÚÑ][\w'’\-]+)?", re.I),
+    re.compile(rf"(?<![\w/]){_ES_TYPE}\s*(?:(?:de|del|la|las|los|el)\s+){{0,3}}[A-ZÁÉÍÓÚÑ][\w'’\-]*(?:\s+(?:de|del|la|las|los|el|y|[A-ZÁÉÍÓÚÑ][\w'’\-]*)){{0,5}}(?:\s*,\s*(?:n[.\s]{{0,2}}[º°o]\s*)?|\s+n[.\s]{{0,2}}[º°o]\s*)\d{{1,4}}(?![\d/])(?:\s*,\s*\d{{5}}\s+[A-ZÁÉÍÓÚÑ][\w'’\-]+)?", re.I),
 ]
 ADDRESS_HINT = [
     re.compile(rf"(?<!\w){_FR_TYPE}\s"),
     re.compile(r"lieu-?dit"),
     re.compile(r"(?:road|rd|lane|ln|street|st|close|avenue|ave|drive|dr|way|court|ct|square|sq|terrace|crescent|gardens|row|hill|place|grove)\b"),
-    re.compile(r"(?:straße|strasse|str\.|gasse|weg|platz|allee|ring|damm|ufer|steig|hof|markt|haus)\s\d"),
-    re.compile(r"(?<!\w)(?:calle|c/|avenida|avda|plaza|paseo|camino|carretera|ronda)"),
+    re.compile(r"(?:straße|strasse|str\.|gasse|weg|platz|allee|ring|damm|ufer|steig|hof|markt|haus)\s+\d"),
+    re.compile(rf"(?<!\w){_ES_TYPE}"),
 ]
 
 # Titles, roles that follow a title without being names, particles, labels.
@@ -186,17 +187,17 @@ def find(text: str, shapes: Shapes) -> list[tuple[int, int, str]]:
             starts.insert(i, a)
             taken.insert(i, (a, b, kind))
 
-    low = plain.lower()
+    low = _lower(plain)
     if EMAIL_HINT.search(low):
         for m in EMAIL.finditer(plain):
             take(*m.span(), "email")
-    digits = any(c in plain for c in "0123456789")
+    digits = _DIGIT.search(plain)
+    for n, (hint, pattern) in enumerate(zip(ADDRESS_HINT, ADDRESS)):
+        if (digits or n == _NO_NUMBER) and hint.search(low):
+            for m in pattern.finditer(plain):
+                a, b = m.span()
+                take(a, a + len(plain[a:b].rstrip(" \n,-")), "address")
     if digits:
-        for hint, pattern in zip(ADDRESS_HINT, ADDRESS):
-            if hint.search(low):
-                for m in pattern.finditer(plain):
-                    a, b = m.span()
-                    take(a, a + len(plain[a:b].rstrip(" \n,-")), "address")
         for m in NIR.finditer(plain):
             if feistel.nir_valid(m.group()):
                 take(*m.span(), "id_number")
@@ -216,6 +217,16 @@ def find(text: str, shapes: Shapes) -> list[tuple[int, int, str]]:
     return taken
 
 
+_DIGIT = re.compile(r"\d")
+#: The pattern of addresses that need no number: lieu-dit.
+_NO_NUMBER = 1
+
+
+def _lower(text: str) -> str:
+    """Lower case; also of the letters that a pattern without regard to case takes for i and s, though their lower case differs."""
+    return text.replace("İ", "i").replace("ı", "i").replace("ſ", "s").lower()
+
+
 _AMOUNT = re.compile(r"\s?(?:€|%|EUR|euros?)")
 
 

@@ -42,6 +42,31 @@ def test_find(shapes, text, items):
     assert [(k, text[a:b]) for a, b, k in pii.find(text, shapes)] == items
 
 
+#: Examples of what the patterns declare; each stands alone, so nothing else lets its pattern run.
+EXAMPLES = {
+    "email": ["jean.dupont at exemple point fr", "x at exemple punto com", "x ät exemple punkt de", "x AT EXEMPLE DOT COM", "x at exemple (dot) com", "x at exemple [punkt] com", "x at a-b.exemple.com", "x at\nexemple  dot\ncom", f"x at {'a' * 70} dot com", "x@exemple.com", "x arobase exemple.com", "x (ät) exemple.com", "x <arroba> exemple {point} com"],
+    "address": [
+        *[f"{w} de Bilbao, 5" for w in ("Calle", "C/", "Avenida", "Avda.", "avda", "Plaza", "Plza.", "Paseo", "Pº", "Camino", "Carretera", "Ronda", "Travesía", "TRAVESÍA", "Glorieta", "glorıeta")],
+        "Ulmenstraße  84", "Ulmenweg\n 12", "Ulmenhof\t\t3", "12 rue Haute", "12 ALLÉE Haute", "10 Old Tannery Rd", "lieu-dit La Fosse Noire", "LIEUDIT La Fosse Noire",
+    ],
+    "phone": ["+\u0663\u0663 \u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668"],
+    "id_number": ["QQ 47 22 36 C", "QQ-47-22-36-C", "73 JK 79161", "73JK79161", "65 070649 J 003", "65070649J003", "DNI: 12345678", "Passport no. X123456", "titre de séjour n° AB1234567", "paſſport X123456"],
+}
+
+
+@pytest.mark.parametrize("kind,text", [(k, t) for k, texts in EXAMPLES.items() for t in texts])
+def test_hints_let_every_pattern_run(kind, text):
+    low = pii._lower(text)
+    matched = {
+        "email": [pii.EMAIL_HINT.search(low)] if pii.EMAIL.search(text) else [],
+        "address": [h.search(low) for h, p in zip(pii.ADDRESS_HINT, pii.ADDRESS) if p.search(text)],
+        "phone": [True] if pii.PHONE.search(text) else [],
+        "id_number": [pii.ID_HINT.search(text) for p in (pii.NINO, pii.CARD, pii.SVNR) if p.search(text)] + [any(w in low for w in pii.DOCUMENT_HINT)] * bool(pii.DOCUMENT.search(text)),
+    }[kind]
+    assert matched and all(matched)
+    assert kind in {k for _, _, k in pii.find(text, pii.Shapes([]))}
+
+
 def test_offsets_in_the_original(shapes):
     text = "ｔéｌ.​ ０６ ３９ ９８ ５１ １９ Assuré : Norvane"
     assert [(k, text[a:b].strip()) for a, b, k in pii.find(text, shapes)] == [("phone", "０６ ３９ ９８ ５１ １９"), ("name", "Norvane")]
