@@ -151,7 +151,7 @@ def with_empty(files: DataFrame) -> DataFrame:
 
 def read_directory(spark: SparkSession, directory: str, fail_fast: bool = True) -> DataFrame:
     """Chunks of all supported files below a directory, in no particular order."""
-    pattern = "*.{" + ",".join(v for s in SUFFIXES for v in (s[1:], s[1:].upper(), s[1:].capitalize())) + "}"
+    pattern = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in s[1:]) for s in SUFFIXES) + "}"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(directory)
     return parse(with_empty(files), fail_fast)
 

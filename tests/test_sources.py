@@ -44,6 +44,14 @@ def test_read_directory(spark, directory):
     assert rows["a.txt", "full_text"].page_number is None
 
 
+def test_read_directory_in_any_case(spark, tmp_path):
+    names = ["a.tXt", "b.TXT", "c.Txt", "d.mD", "e.jSOn", "f.cSV"]
+    for name in names:
+        (tmp_path / name).write_text("{}")
+    (tmp_path / "g.pDF").write_bytes(pdf(["un"]))
+    assert {r.file_name for r in files.read_directory(spark, str(tmp_path)).collect()} == {*names, "g.pDF"}
+
+
 def test_deflated_pdf():
     assert files.simple_pdf(pdf(["un", "deux"], ["trois"], deflate=True)) == ["un\ndeux", "trois"]
 
