@@ -2,7 +2,7 @@
 
 Texts are cut into lines; a line is brought to a comparison form (placeholders, ids and numbers replaced by marks, lower case)
 and equal forms are united. Trusted rules label forms that are residue beyond doubt: unfilled placeholders, filler vocabulary,
-and short lines that are an error message or a notice addressed to a browser's user. Forms get a 64-bit SimHash over shingles
+and lines that begin with an error message or a notice addressed to a browser's user. Forms get a 64-bit SimHash over shingles
 of five words, which is looked up in partitioned tables (groups of bits); pairs that meet in a table are verified by Hamming
 distance and by the Jaccard similarity of their shingles (0.8). Labels then spread through the connected components of the
 verified links, from the labelled forms outward round by round, until a round adds nothing. Only links that touch a labelled
@@ -65,7 +65,7 @@ NOTICES = (
     r"(?:this (?:app|page|site) (?:requires|needs|works best with) (?:javascript|scripts))",
     r"(?:http|error|erreur|fehler|code)[ /:]*[1-5]\d\d\b(?!\s*\w+\s+(?:lors|en|beim|while|when))",
     r"[45]\d\d\s*[-:]?\s*(?:not found|forbidden|bad gateway|bad request|unauthorized|internal server error|service unavailable|gateway time-?out|page introuvable|error|erreur)",
-    r"(?:not found|forbidden|bad gateway|bad request|internal server error|service unavailable|gateway time-?out|access denied|permission denied|page not found)\s*[.!]?\s*$",
+    r"(?:not found|forbidden|bad gateway|bad request|internal server error|service unavailable|gateway time-?out|access denied|permission denied|page not found)\s*(?:$|[.!](?:\s|$))",
     r"the requested (?:address|url|page|resource) (?:was|could|is|does)",
     r"(?:this|the) (?:page|site|content|service) (?:isn't|is not|is currently|is temporarily|could not|cannot|can't|doesn't|does not)\s*(?:available|be|exist|unavailable|found|right)?",
     r"(?:la |cette )?page (?:demandée |que vous (?:cherchez|demandez) )?(?:est |n'est |n'existe |non |a été )?(?:introuvable|trouvée|indisponible|disponible|pas|plus)",
@@ -103,7 +103,6 @@ SAMPLES = (
     r"(?:sample|placeholder|dummy|example|filler) (?:paragraph|text|title|content)",
     r"(?:titre du document|sous-titre|corps du texte|document title|subtitle|body text|dokumenttitel|untertitel)\s*$",
 )
-LONGEST_NOTICE = 200
 
 _FILLER_WORDS = "|".join(FILLER.split())
 _SIX = r"\W+".join([f"(?:{_FILLER_WORDS})"] * 6)  # spelt out, which Java matches faster than a counted group
@@ -116,7 +115,7 @@ _HINT = r"[{\[<$#%_@«&]|:[A-Za-z]|XXXX"
 
 def trusted(line: Column) -> Column:
     """Whether a line is residue beyond doubt."""
-    return F.coalesce((line.rlike(_HINT) & line.rlike(_PLACEHOLDER)) | F.lower(line).rlike(_FILLER_LINE) | ((F.length(line) <= LONGEST_NOTICE) & line.rlike(_NOTICE_LINE)), F.lit(False))
+    return F.coalesce((line.rlike(_HINT) & line.rlike(_PLACEHOLDER)) | F.lower(line).rlike(_FILLER_LINE) | line.rlike(_NOTICE_LINE), F.lit(False))
 
 
 def comparison_form(line: Column) -> Column:

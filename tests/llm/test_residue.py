@@ -18,6 +18,16 @@ def jaccard(a, b):
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
 
 
+def test_notices_of_any_length(spark):
+    tail = " You don't have permission to open this address on this server, please ask its owner and name the reference given below" * 3
+    rest = " Elle a signé le contrat du dossier, puis elle a envoyé les pièces demandées à son conseiller de l'agence" * 3
+    notices = ["Access denied." + tail, "Error 503:" + tail, "Veuillez activer JavaScript" + rest, "Not found." + tail]
+    sound = ["Access denied to the archive was the subject." + tail, "Elle a signé." + rest, "Le service était indisponible dimanche." + rest]
+    df = spark.createDataFrame([(t,) for t in notices + sound], "t string")
+    assert all(len(t) > 200 for t in notices + sound)
+    assert {r.t for r in df.where(R.trusted(F.col("t"))).collect()} == set(notices)
+
+
 def test_labels_spread_through_links(spark):
     words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120)]
     forms = [" ".join(words[k : k + 80]) for k in range(0, 40, 4)]  # a chain: neighbours are near, ends are not
