@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import canon, mix, mojibake, pack, pii, residue, sentences, split, topn
-from .common import table, texts, union
+from .common import small_side, table, texts, union
 
 #: Secret of the pseudonyms in the registered query; a deployment passes its own.
 SECRET = "hushlens"
@@ -21,7 +21,27 @@ def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p1_pieces(spark, sf).where("n_pieces > 1 and piece_ord = 0").select("chunk_key")
+    """Chunks that were cut into pieces within their limit, covering the text in order."""
+    pieces = p1_pieces(spark, sf).where("n_pieces > 1")
+    whole = F.sum(F.col("end_char") - F.col("start_char") - F.length("piece_text")) == 0
+    return pieces.groupBy("chunk_key").agg(whole.alias("whole"), (F.count_distinct("piece_ord") == F.max("n_pieces")).alias("all")).where("whole and all").select("chunk_key")
+
+
+def p1_rebuilt(spark: SparkSession, sf: str) -> DataFrame:
+    """Every chunk's text put together again from its pieces."""
+    return split.rebuilt(p1_pieces(spark, sf)).select("chunk_key", F.md5("text").alias("md5"))
+
+
+def p1_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """Per file type: chunks, those that were cut, and whether every piece keeps the limit and shares the overlap asked for."""
+    limits = table(spark, sf, "size_limits").select(F.lower(F.trim("file_type")).alias("_type"), "max_chars", "overlap_chars")
+    chunks = table(spark, sf, "chunks").select("chunk_key", F.lower(F.trim("file_type")).alias("_type"))
+    pieces = p1_pieces(spark, sf).select("chunk_key", "piece_ord", "n_pieces", "start_char", "end_char", F.length("piece_text").alias("chars"))
+    rows = pieces.join(chunks, "chunk_key").join(small_side(limits), "_type")
+    order = Window.partitionBy("chunk_key").orderBy("piece_ord")
+    shared = F.lag("end_char").over(order) - F.col("start_char")
+    rows = rows.withColumn("kept", ((F.col("n_pieces") == 1) | (F.col("chars") <= F.col("max_chars"))) & F.coalesce(shared == F.col("overlap_chars"), F.col("start_char") == 0) & (F.coalesce("chars", F.lit(0)) == F.col("end_char") - F.col("start_char")))
+    return rows.groupBy(F.col("_type").alias("file_type")).agg(F.count_if("piece_ord = 0").alias("chunks"), F.count_if("piece_ord = 0 and n_pieces > 1").alias("cut"), F.every("kept").alias("kept"))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,7 +143,7 @@ def p9_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_masked, p3_found, p3_units, p4_found, p4_ranked, p5_found, p5_restored, p6_found, p6_canonical, p7_found, p7_containers, p7_report, p8_found, p8_mix, p8_report, p9_found, p9_clean)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_rebuilt, p1_limits, p2_found, p2_masked, p3_found, p3_units, p4_found, p4_ranked, p5_found, p5_restored, p6_found, p6_canonical, p7_found, p7_containers, p7_report, p8_found, p8_mix, p8_report, p9_found, p9_clean)}
 
 
 _RANKED = """
@@ -136,6 +156,8 @@ _RANKED = """
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": "select chunk_key from chunks c join size_limits s on lower(trim(c.file_type)) = lower(trim(s.file_type)) where length(text) > max_chars",
+        "p1_rebuilt": "select chunk_key, md5(text) as md5 from chunks",
+        "p1_limits": "select lower(trim(c.file_type)) as file_type, count(*) as chunks, count(*) filter (length(text) > max_chars) as cut, true as kept from chunks c join size_limits s on lower(trim(c.file_type)) = lower(trim(s.file_type)) group by 1",
         "p4_found": f"select file_name, finding_id from ({_RANKED})",
         "p4_ranked": f"select file_name, finding_id, category_score, raw_score, cast(rank as integer) as rank from ({_RANKED})",
     }

@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 from hushlens.llm import split
 
@@ -6,8 +7,10 @@ from hushlens.llm import split
 def check(text, limit, overlap, pieces):
     assert pieces[0][0] == 0 and pieces[-1][1] == len(text)
     for (a, b), (c, d) in zip(pieces, pieces[1:]):
-        assert c == b - overlap and d > b
-    assert all(b - a <= limit for a, b in pieces)
+        assert c == b - overlap and d > b and c >= 0
+    assert all(0 < b - a <= limit for a, b in pieces)
+    marks = [p for p in pieces for at in p if 0 < at < len(text) and unicodedata.combining(text[at])]
+    assert not marks or overlap and limit < 4 * overlap or limit < 12
 
 
 def test_properties():
@@ -46,3 +49,31 @@ def test_table(spark):
     assert {r.asDict()["_piece_id"] for r in by[1]} == {"c#0000", "c#0001", "c#0002"}
     assert split.split_oversized(df.limit(0), limits).count() == 0
     assert split.split_oversized(df, limits.limit(0)).count() == len(rows)
+
+
+def test_short_first_part_loses_nothing():
+    for head in range(1, 60):
+        text = "x" * head + "\n\n" + "mot " * 200
+        pieces = split.spans(text, 100, 40)
+        check(text, 100, 40, pieces)
+        assert text == text[: pieces[0][1]] + "".join(text[p[1] : q[1]] for p, q in zip(pieces, pieces[1:]))
+
+
+def test_pieces_are_filled():
+    rng = random.Random(5)
+    text = ""
+    while len(text) < 60_000:
+        text += " ".join("mot" * rng.randrange(1, 4) for _ in range(rng.randrange(3, 25))) + rng.choice([". ", ". ", ".\n\n", ".\n# t\n"])
+    pieces = split.spans(text, 1000, 100)
+    check(text, 1000, 100, pieces)
+    assert all(b - a >= 250 for a, b in pieces[:-1])
+    assert sum(a == 0 or not (text[a - 1].isalnum() and text[a].isalnum()) for a, _ in pieces) > 0.3 * len(pieces)
+
+
+def test_rebuilt(spark):
+    rows = [(1, "a", ".txt", "un deux trois quatre " * 20), (1, "a", ".txt", "un deux trois quatre " * 20), (2, "b", ".txt", None), (3, "c", ".txt", ""), (4, "d", ".txt", "court")]
+    df = spark.createDataFrame(rows, "chunk_key long, chunk_id string, file_type string, text string")
+    limits = spark.createDataFrame([(".txt", 50, 20), (".txt", 90, 3)], "file_type string, max_chars int, overlap_chars int")
+    pieces = split.split_oversized(df, limits)
+    assert pieces.agg({"end_char": "max"}).first()[0] == len(rows[0][3]) and pieces.where("end_char - start_char > 50").count() == 0
+    assert {r.chunk_key: r.text for r in split.rebuilt(pieces).collect()} == {r[0]: r[3] for r in rows}
