@@ -41,7 +41,7 @@ def p1_limits(spark: SparkSession, sf: str) -> DataFrame:
     order = Window.partitionBy("chunk_key").orderBy("piece_ord")
     shared = F.lag("end_char").over(order) - F.col("start_char")
     rows = rows.withColumn("kept", ((F.col("n_pieces") == 1) | (F.col("chars") <= F.col("max_chars"))) & F.coalesce(shared == F.col("overlap_chars"), F.col("start_char") == 0) & (F.coalesce("chars", F.lit(0)) == F.col("end_char") - F.col("start_char")))
-    return rows.groupBy(F.col("_type").alias("file_type")).agg(F.count_if("piece_ord = 0").alias("chunks"), F.count_if("piece_ord = 0 and n_pieces > 1").alias("cut"), F.every("kept").alias("kept"))
+    return rows.groupBy(F.col("_type").alias("file_type")).agg(F.count_if(F.expr("piece_ord = 0")).alias("chunks"), F.count_if(F.expr("piece_ord = 0 and n_pieces > 1")).alias("cut"), F.every("kept").alias("kept"))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -131,7 +131,7 @@ def split_oversized(df: DataFrame, limits: DataFrame, *, text: str = "text", key
     the limit never leave the JVM; only oversized ones go through the Arrow stage.
     """
     lowest = F.min(F.struct(F.col("max_chars").alias("_limit"), F.col("overlap_chars").alias("_overlap")))
-    lim = limits.groupBy(F.lower(F.trim(kind)).alias("_kind")).agg(lowest.alias("_l")).select("_kind", "_l.*")
+    lim = limits.where(F.col("max_chars") > 0).groupBy(F.lower(F.trim(kind)).alias("_kind")).agg(lowest.alias("_l")).select("_kind", "_l.*")
     rows = df.select(F.col(key).alias("_key"), F.col(item_id).alias("_id"), F.col(text).alias("_text"), F.lower(F.trim(F.col(kind))).alias("_k"))
     rows = rows.join(small_side(lim), F.col("_k") == F.col("_kind"), "left").drop("_k", "_kind")
     over = (F.length("_text") > F.col("_limit")) & (F.col("_limit") > 0)
