@@ -7,7 +7,8 @@ token axis; a record that begins at token c gets the position t with D_s(t) = c,
 begin beyond the demand of t = 1 are not chosen. The chosen records of all sources are range-sorted by position.
 
 No source is summed in one task: records fall by hash into blocks, block totals are added up, and the running sum inside a
-block starts from the total before it. The number of blocks follows the number of rows.
+block starts from the total before it. The number of blocks follows the number of rows. A source is short if the records
+chosen for it, all of them as often as allowed, end before its demand does.
 
 Spellings of a source are united by dropping case, outer blanks and the kind of separator. Defined results: rows with null
 source or with a source that has no target count towards the total size but are never chosen; null or empty texts have 0
@@ -17,6 +18,8 @@ empty table reports 0 tokens and null shares for every source.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,14 +41,14 @@ def sized(df: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
 
 
 def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per source: target_share, max_repeats, total size of all rows (budget), own size, rows, demand, repeats needed, shortfall."""
+    """Per source: target_share, max_repeats, total size of all rows (budget), own size, rows, demand, repeats needed."""
     own = sizes.groupBy("_source").agg(F.sum("tokens").alias("own_tokens"), F.count(F.lit(1)).alias("n_rows"))
     goal = targets.select(F.col("source"), source_key(F.col("source")).alias("_source"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"))
     budget = own.agg(F.sum("own_tokens")).first()[0] or 0
     out = goal.join(own, "_source", "left").withColumn("budget", F.lit(budget).cast("long"))
     out = out.withColumns({"own_tokens": F.coalesce("own_tokens", F.lit(0)), "n_rows": F.coalesce("n_rows", F.lit(0)), "demand": F.col("target_share") * F.col("budget")})
     needed = F.when(F.col("own_tokens") > 0, F.ceil(F.col("demand") / F.col("own_tokens"))).otherwise(0)
-    return out.withColumns({"repeats": F.least(needed, F.col("max_repeats")).cast("int"), "short": F.col("own_tokens") * F.col("max_repeats") < F.col("demand")})
+    return out.withColumn("repeats", F.least(needed, F.col("max_repeats")).cast("int"))
 
 
 def position(c: Column, share: Column, budget: Column, tilt: float) -> Column:
@@ -62,11 +65,12 @@ def mix(df: DataFrame, targets: DataFrame, *, key: str = "doc_id", text: str = "
     """
     sizes = sized(df, key=key, text=text, source=source, folder=folder, vocabulary=vocabulary)
     goals = cut_lineage(plan(sizes, targets).coalesce(1))
-    blocks = max(1, -(-sizes.count() // block_rows))
+    rows = sizes.count()
+    blocks = max(1, -(-rows // max(block_rows, isqrt(rows))))
     rows = sizes.join(small_side(goals.select("_source", "source", "target_share", "budget", "demand", "own_tokens", "repeats"), MAX_SOURCES), "_source")
     rows = rows.withColumn("_turn", F.xxhash64("_key", F.lit(7))).withColumn("_block", F.floor(F.col("_turn") / F.lit(2.0**64 / blocks)))
     totals = rows.groupBy("_source", "_block").agg(F.sum("tokens").alias("_sum"))
-    # Totals number sources times blocks, that is rows / block_rows per source: a window over them stays small.
+    # A source has at most the square root of the rows in blocks, and a block of it about as many rows: no window grows beyond.
     before = totals.select("_source", "_block", (F.sum("_sum").over(Window.partitionBy("_source").orderBy("_block")) - F.col("_sum")).alias("_before"))
     inside = F.sum("tokens").over(Window.partitionBy("_source", "_block").orderBy("_turn", "_key", "tokens").rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")
     placed = rows.withColumn("_inside", inside).join(before, ["_source", "_block"]).withColumn("_start", F.col("_before") + F.col("_inside"))
@@ -80,5 +84,6 @@ def mix(df: DataFrame, targets: DataFrame, *, key: str = "doc_id", text: str = "
     ordered = chosen.repartitionByRange(parts, "position", key, "repeat").sortWithinPartitions("position", key, "repeat")
     used = chosen.groupBy("source").agg(F.sum("tokens").alias("used_tokens"), F.count(F.lit(1)).alias("used_records"), F.max("repeat").alias("most_repeats"))
     report = goals.join(used, "source", "left").withColumns({"used_tokens": F.coalesce("used_tokens", F.lit(0)), "used_records": F.coalesce("used_records", F.lit(0)), "most_repeats": F.coalesce("most_repeats", F.lit(0))})
+    report = report.withColumn("short", F.col("used_tokens") < F.col("demand"))  # the records chosen do not reach to the end of the demand
     report = report.withColumns({"share_of_budget": F.try_divide("used_tokens", "budget"), "share_reached": F.try_divide("used_tokens", F.sum("used_tokens").over(Window.partitionBy(F.lit(0))))})
     return ordered, report.select("source", "target_share", "max_repeats", "budget", "own_tokens", "n_rows", "demand", "short", "used_tokens", "used_records", "most_repeats", "share_of_budget", "share_reached")

@@ -3,12 +3,14 @@
 E-mail addresses (also spelt out), telephone numbers, social insurance, passport and identity-card numbers, postal addresses
 and names are found by one scan of each text. Numbers must fit a format, French social insurance numbers also their check
 number. Names are words of the known persons, or words built like them: a word shape model (beginnings and endings of the
-names) is trained on the persons table, whose size is checked (MAX_PERSONS). Titles, form labels and initials extend a name.
+names) is trained on at most MAX_PERSONS persons; where there are more, the name words of all of them are looked up by a
+distributed join. Titles, form labels and initials extend a name.
 What overlaps is settled in the order e-mail, address, identity number, telephone, name, so a name in a street or an e-mail
 address is none.
 
-Replacement: [TYPE value]. Validated numbers keep their format but are permuted by a keyed Feistel network (dates too if asked
-for); e-mail addresses, postal addresses and names get a short keyed label. Equal values so stay linked across documents.
+Replacement: [TYPE value]. Numbers keep their format but are permuted by a keyed Feistel network among the valid ones of their
+kind, whichever way they are written; dates of birth inside them too, and all other dates if asked for. E-mail addresses, postal
+addresses and names get a short keyed label. Equal values so stay linked across documents.
 
 Text is scanned in a form with blanks, wide forms, hyphens and look-alikes united, with offsets mapped back to the original.
 
@@ -22,7 +24,7 @@ import re
 import unicodedata
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -30,8 +32,9 @@ from pyspark.sql import functions as F
 
 from . import feistel
 from .canon import ALIKE, NEEDS, TABLE
-from .common import map_columns, spread, transposed
+from .common import arrow_schema, map_columns, transposed
 
+#: Persons the model is fitted on.
 MAX_PERSONS = 100_000
 
 _AT = r"(?:\s?@\s?|\s*[(\[{<]\s*(?:at|arobase|arroba|ät)\s*[)\]}>]\s*|\s+(?:arobase|arroba|at|ät)\s+)"
@@ -113,7 +116,9 @@ def fold(word: str) -> str:
 class Shapes:
     """Known name words and the beginnings and endings names are built of."""
 
-    def __init__(self, words: list[str], least: int = 4):
+    def __init__(self, words: list[str], least: int = 4, whole: bool = True):
+        self.whole = whole
+        self._also: frozenset[str] = frozenset()
         self.known = {fold(w) for name in words for w in re.split(r"[^\w]+", name) if len(w) > 2}
         self.least = least
         starts, ends = Counter(), Counter()
@@ -126,8 +131,14 @@ class Shapes:
         self.ends = {s for s, n in ends.items() if n >= least}
         self._seen: dict[str, bool] = {}
 
+    def also(self, words: Sequence[str]) -> None:
+        """Name words of the text looked at, beyond those the model holds."""
+        self._also = frozenset(map(fold, words))
+
     def is_name(self, word: str) -> bool:
         """Whether a word is a known name word or built like one: a usual beginning and a usual ending, at most 3 letters between."""
+        if self._also and fold(word) in self._also:
+            return True
         got = self._seen.get(word)
         if got is None:
             got = self._is_name(fold(word))
@@ -287,64 +298,99 @@ _EXPECTS_NAME = re.compile(
 )
 
 
+def replacements(text: str, shapes: Shapes, key: bytes) -> list[tuple[int, int, str, str]]:
+    """(start, end, type, placeholder) of the items of one text."""
+    return [(a, b, kind, f"[{kind.upper()} {pseudonym(text[a:b], kind, key)}]") for a, b, kind in find(text, shapes)]
+
+
+@lru_cache(maxsize=100_000)
+def pseudonym(item: str, kind: str, key: bytes) -> str:
+    """A number permuted within its format; a keyed label for anything else. Equal values give equal ones however written."""
+    if kind == "phone":
+        return feistel.permute_phone(item, key)
+    if kind == "id_number":
+        return feistel.permute_id(item, key)
+    return feistel.label(" ".join(fold(item).split()), key)
+
+
 def replace(text: str, shapes: Shapes, key: bytes, dates: bool = False) -> str:
-    """The text with each item replaced by its typed placeholder, the rest unchanged."""
+    """The text with each item replaced by its typed placeholder, the rest unchanged; with dates, these are permuted too."""
+    rest = (lambda t: feistel.permute_dates(t, key)) if dates else (lambda t: t)
     out, i = [], 0
-    for a, b, kind in find(text, shapes):
-        item = text[a:b]
-        if kind == "phone":
-            shown = feistel.permute_digits(item, key, "phone", keep=2)
-        elif kind == "id_number":
-            shown = feistel.permute_nir(item, key) if feistel.nir_valid(item) else feistel.permute_digits(item, key, "id")
-        else:
-            shown = feistel.label(" ".join(fold(item).split()), key)
-        out += [_dates(text[i:a], key) if dates else text[i:a], f"[{kind.upper()} {shown}]"]
+    for a, b, _, shown in replacements(text, shapes, key):
+        out += [rest(text[i:a]), shown]
         i = b
-    out.append(_dates(text[i:], key) if dates else text[i:])
+    out.append(rest(text[i:]))
     return "".join(out)
 
 
-_DATE = re.compile(r"(?<!\d)\d\d([/.\-])\d\d\1\d{4}(?!\d)")
+def train(persons: DataFrame, sample: int = MAX_PERSONS) -> Shapes:
+    """The word shape model, and all name words, of at most `sample` persons; of more the first by hash, which `known` makes good."""
+    names = persons.select("given_name", "family_name")
+    rows = names.limit(sample + 1).collect()
+    if len(rows) <= sample:
+        return Shapes([v for r in rows for v in r if v])
+    rows = names.orderBy(F.xxhash64("given_name", "family_name"), "given_name", "family_name").limit(sample).collect()
+    return Shapes([v for r in rows for v in r if v], whole=False)
 
 
-def _dates(text: str, key: bytes) -> str:
-    return _DATE.sub(lambda m: feistel.permute_date(m.group(), key), text)
+def with_known(rows: DataFrame, persons: DataFrame) -> DataFrame:
+    """rows (_key, _text) with _known: the words of a text that are name words of any person, for tables beyond the sample.
 
+    Words of texts and of persons meet in a join on the word, spread over the cluster; a text's own words come back to it by
+    two hashes of the text.
+    """
+    word = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit(r"(\p{L}{3,})"), F.lit(1))))
+    names = persons.select(F.explode(F.array("given_name", "family_name")).alias("_v")).where(F.col("_v").isNotNull()).select(word(F.lower("_v")).alias("_w")).distinct()
+    hashed = rows.withColumns({"_t1": F.xxhash64("_text"), "_t2": F.xxhash64(F.lit(1), "_text")})
+    texts = hashed.select("_t1", "_t2", word(F.col("_text")).alias("_c")).where(F.col("_c").rlike(r"^\p{Lu}")).withColumn("_w", F.lower("_c")).distinct()
+    found = texts.join(names, "_w", "left_semi").groupBy("_t1", "_t2").agg(F.collect_set("_w").alias("_known"))
+    return hashed.join(found, ["_t1", "_t2"], "left").select("_key", "_text", "_known")
 
-def train(persons: DataFrame) -> Shapes:
-    """The word shape model of at most MAX_PERSONS rows."""
-    rows = persons.select("given_name", "family_name").limit(MAX_PERSONS + 1).collect()
-    if len(rows) > MAX_PERSONS:
-        raise ValueError(f"persons has more than {MAX_PERSONS} rows")
-    return Shapes([v for r in rows for v in r if v])
 
+def _scanned(df: DataFrame, shapes: Shapes, persons: DataFrame | None, key: str, text: str, make: Callable[[Shapes], Callable[[str], list]], ddl: str) -> DataFrame:
+    """One Arrow stage over the texts: make(model) gives a function from a text to rows, to which the key is added."""
+    words, least, whole = sorted(shapes.known), shapes.least, shapes.whole
+    width = len(arrow_schema(ddl))
+    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    if not whole:
+        if persons is None:
+            raise ValueError("the model holds a sample of the persons, so the persons are needed as well")
+        rows = with_known(rows, persons)
 
-def items(df: DataFrame, shapes: Shapes, *, key: str, text: str) -> DataFrame:
-    """One row per item: key, pii_type, start_char, end_char."""
-    key_type = df.schema[key].dataType.simpleString()
-    words, least = sorted(shapes.known), shapes.least
-
-    def scan() -> Callable[[list, list], list]:
+    def scan() -> Callable[..., list]:
         model = Shapes(words, least)
-        seen = lru_cache(maxsize=20_000)(lambda t: find(t, model))  # excerpts repeat
+        work = make(model)
+        seen = lru_cache(maxsize=20_000)(work)  # excerpts repeat
+
+        def run(keys: list, texts: list, known: list | None = None) -> list:
+            out = []
+            for n, (k, t) in enumerate(zip(keys, texts)):
+                if known is not None and known[n]:
+                    model.also(known[n])
+                    got = work(t)
+                    model.also(())
+                else:
+                    got = seen(t) if t is None or len(t) < 400 else work(t)
+                out += [(k, *r) for r in got]
+            return transposed(out, width + 1)
+
+        return run
 
-        def work(keys: list, texts: list) -> list:
-            return transposed([(k, kind, s, e) for k, t in zip(keys, texts) for s, e, kind in (seen(t) if len(t) < 400 else find(t, model))], 4)
+    key_type = df.schema[key].dataType.simpleString()
+    return map_columns(rows, scan, f"_key {key_type}, {ddl}").withColumnRenamed("_key", key)
 
-        return work
 
-    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.length("_text") > 0)
-    return map_columns(rows, scan, f"_key {key_type}, pii_type string, start_char int, end_char int").withColumnRenamed("_key", key)
+def items(df: DataFrame, shapes: Shapes, *, key: str, text: str, secret: str = "", persons: DataFrame | None = None) -> DataFrame:
+    """One row per item: key, pii_type, start_char, end_char, placeholder. persons is needed where shapes holds a sample only."""
+    raw = secret.encode()
+    make = lambda model: lambda t: [(kind, a, b, shown) for a, b, kind, shown in replacements(t, model, raw)]
+    rows = df.where(F.length(text) > 0)
+    return _scanned(rows, shapes, persons, key, text, make, "pii_type string, start_char int, end_char int, placeholder string")
 
 
-def masked(df: DataFrame, shapes: Shapes, *, key: str, text: str, secret: str, dates: bool = False) -> DataFrame:
+def masked(df: DataFrame, shapes: Shapes, *, key: str, text: str, secret: str, dates: bool = False, persons: DataFrame | None = None) -> DataFrame:
     """key and the masked text of every row; null stays null."""
-    key_type = df.schema[key].dataType.simpleString()
-    words, least, raw = sorted(shapes.known), shapes.least, secret.encode()
-
-    def mask() -> Callable[[list, list], list]:
-        model = Shapes(words, least)
-        return lambda keys, texts: [keys, [None if t is None else replace(t, model, raw, dates) for t in texts]]
-
-    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    return map_columns(spread(rows, F.xxhash64("_key", "_text")), mask, f"_key {key_type}, masked_text string").withColumnRenamed("_key", key)
+    raw = secret.encode()
+    make = lambda model: lambda t: [(None if t is None else replace(t, model, raw, dates),)]
+    return _scanned(df, shapes, persons, key, text, make, "masked_text string")

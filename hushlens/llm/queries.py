@@ -44,20 +44,36 @@ def p1_limits(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy(F.col("_type").alias("file_type")).agg(F.count_if(F.expr("piece_ord = 0")).alias("chunks"), F.count_if(F.expr("piece_ord = 0 and n_pieces > 1")).alias("cut"), F.every("kept").alias("kept"))
 
 
+def _both(spark: SparkSession, sf: str, work: Callable[..., DataFrame]) -> DataFrame:
+    """One operator over both text columns: tab, row_id and what it gives."""
+    out = []
+    for name, key, text in (("chunks", "chunk_key", "text"), ("article9_findings", "finding_id", "excerpt")):
+        out.append(work(texts(spark, sf, name), key=key, text=text).withColumnRenamed(key, "row_id").withColumn("tab", F.lit(name)))
+    return union(out)
+
+
+def _personal(spark: SparkSession, sf: str, operator: Callable[..., DataFrame], **options) -> DataFrame:
+    persons = table(spark, sf, "persons")
+    shapes = pii.train(persons)
+    return _both(spark, sf, lambda df, key, text: operator(df, shapes, key=key, text=text, secret=SECRET, persons=persons, **options))
+
+
+def p2_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Every item with its place and placeholder."""
+    return _personal(spark, sf, pii.items).select("tab", "row_id", "pii_type", "start_char", "end_char", "placeholder")
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    shapes = pii.train(table(spark, sf, "persons"))
-    chunks = pii.items(texts(spark, sf, "chunks"), shapes, key="chunk_key", text="text")
-    findings = pii.items(texts(spark, sf, "article9_findings"), shapes, key="finding_id", text="excerpt")
-    both = chunks.select(F.lit("chunks").alias("tab"), F.col("chunk_key").alias("row_id"), "pii_type", "start_char")
-    return both.unionAll(findings.select(F.lit("article9_findings"), "finding_id", "pii_type", "start_char"))
+    return p2_items(spark, sf).where("placeholder is not null").select("tab", "row_id", "pii_type", "start_char")
 
 
 def p2_masked(spark: SparkSession, sf: str) -> DataFrame:
-    shapes = pii.train(table(spark, sf, "persons"))
-    chunks = pii.masked(texts(spark, sf, "chunks"), shapes, key="chunk_key", text="text", secret=SECRET)
-    findings = pii.masked(texts(spark, sf, "article9_findings"), shapes, key="finding_id", text="excerpt", secret=SECRET)
-    both = chunks.select(F.lit("chunks").alias("tab"), F.col("chunk_key").alias("row_id"), "masked_text")
-    return both.unionAll(findings.select(F.lit("article9_findings"), "finding_id", "masked_text"))
+    return _personal(spark, sf, pii.masked).select("tab", "row_id", "masked_text")
+
+
+def p2_dated(spark: SparkSession, sf: str) -> DataFrame:
+    """The masked texts with all dates permuted as well."""
+    return _personal(spark, sf, pii.masked, dates=True).select("tab", "row_id", "masked_text")
 
 
 def p3_units(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,7 +130,25 @@ def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p7_containers(spark, sf).where("n_pieces > 1 and piece = 0").select("doc_id")
+    """Documents that do not fit into one container: what was packed of them lies in several and is larger than one."""
+    packed = p7_containers(spark, sf)
+    per = packed.where("n_pieces > 1").groupBy("doc_id").agg(F.count_distinct("container").alias("containers"), F.sum("tokens").alias("tokens"))
+    return per.where((F.col("containers") > 1) & (F.col("tokens") > pack.CAPACITY)).select("doc_id")
+
+
+def p7_rebuilt(spark: SparkSession, sf: str) -> DataFrame:
+    """How many characters of every document lie in containers."""
+    return p7_containers(spark, sf).groupBy("doc_id").agg(F.sum(F.col("end_char") - F.col("start_char")).alias("chars"))
+
+
+def p7_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers filled beyond their capacity, places taken twice, texts cut though they fit, and the documents packed."""
+    packed = p7_containers(spark, sf)
+    loads = packed.groupBy("container").agg(F.sum("tokens").alias("load"), (F.count_distinct("place") < F.count(F.lit(1))).alias("twice"))
+    texts = packed.groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"))
+    left = loads.agg(F.count_if(F.col("load") > pack.CAPACITY).alias("overfull"), F.count_if("twice").alias("twice"))
+    right = texts.agg(F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= pack.CAPACITY)).alias("torn"), F.count(F.lit(1)).alias("documents"))
+    return left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
 def p7_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -129,6 +163,16 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return mix.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), tilt=TILT)[1]
 
 
+def p8_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Per source whether the mix keeps its repeats and its share: short only with every record used to its cap, else reached by the last record."""
+    chosen, report = mix.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), tilt=TILT)
+    per = chosen.groupBy("source").agg(F.sum("tokens").alias("used"), F.max("tokens").alias("largest"), F.max("repeat").alias("most"), F.count(F.lit(1)).alias("records"))
+    rows = report.join(per, "source", "left").na.fill(0, ["used", "largest", "most", "records"])
+    full = (F.col("records") == F.col("n_rows") * F.col("max_repeats")) & (F.col("used") < F.col("demand"))
+    reached = (F.col("used") >= F.col("demand")) & (F.col("used") - F.col("largest") < F.col("demand"))
+    return rows.select("source", ((F.col("most") <= F.col("max_repeats")) & F.when(F.col("short"), full).otherwise(reached | (F.col("demand") == 0))).alias("kept"))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return p8_report(spark, sf).where("short").select("source")
 
@@ -143,7 +187,7 @@ def p9_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p1_rebuilt, p1_limits, p2_found, p2_masked, p3_found, p3_units, p4_found, p4_ranked, p5_found, p5_restored, p6_found, p6_canonical, p7_found, p7_containers, p7_report, p8_found, p8_mix, p8_report, p9_found, p9_clean)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_rebuilt, p1_limits, p2_found, p2_items, p2_masked, p2_dated, p3_found, p3_units, p4_found, p4_ranked, p5_found, p5_restored, p6_found, p6_canonical, p7_found, p7_containers, p7_report, p7_rebuilt, p7_kept, p8_found, p8_mix, p8_report, p8_kept, p9_found, p9_clean)}
 
 
 _RANKED = """
@@ -159,5 +203,8 @@ def oracle_sql() -> dict[str, str]:
         "p1_rebuilt": "select chunk_key, md5(text) as md5 from chunks",
         "p1_limits": "select lower(trim(c.file_type)) as file_type, count(*) as chunks, count(*) filter (length(text) > max_chars) as cut, true as kept from chunks c join size_limits s on lower(trim(c.file_type)) = lower(trim(s.file_type)) group by 1",
         "p4_found": f"select file_name, finding_id from ({_RANKED})",
+        "p7_rebuilt": "select doc_id, coalesce(length(text), 0) as chars from documents",
+        "p7_kept": "select 0 as overfull, 0 as twice, 0 as torn, count(*) as documents from documents",
+        "p8_kept": "select source, true as kept from mix_targets",
         "p4_ranked": f"select file_name, finding_id, category_score, raw_score, cast(rank as integer) as rank from ({_RANKED})",
     }

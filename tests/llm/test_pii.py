@@ -98,3 +98,24 @@ def test_table(spark):
     assert len(shown) == 6 and {r.masked_text for r in shown if r.id == 2} == {None} and {r.masked_text for r in shown if r.id == 3} == {""}
     assert pii.items(df.limit(0), shapes, key="id", text="text").count() == pii.masked(df.limit(0), shapes, key="id", text="text", secret="s").count() == 0
     assert pii.find("Nom: Karl Dupont\nM. Weber", pii.train(persons.limit(0))) == [(5, 16, "name"), (20, 25, "name")]
+
+
+def test_more_persons_than_the_model_holds(spark):
+    rows = [(n, f"Zq{n[:3].lower()}wx", None) for n in NAMES]
+    persons = spark.createDataFrame(rows, "given_name string, family_name string, role string")
+    few, all_ = pii.train(persons, sample=3), pii.train(persons)
+    assert not few.whole and all_.whole and len(few.known) < len(all_.known)
+    df = spark.createDataFrame([(1, f"Hier {NAMES[0]} {rows[0][1]} a écrit."), (2, f"Puis {NAMES[-1]} aussi."), (3, None), (4, "Rien ici."), (1, f"{NAMES[7]}")], "id long, text string")
+    found = lambda shapes: sorted(map(tuple, pii.items(df, shapes, key="id", text="text", persons=persons).drop("placeholder").collect()))
+    assert found(few) == found(all_) and len(found(few)) == 3
+    assert len(pii.masked(df, few, key="id", text="text", secret="s", persons=persons).collect()) == 5
+    with pytest.raises(ValueError):
+        pii.items(df, few, key="id", text="text")
+
+
+def test_placeholders_are_those_of_the_masked_text(spark, shapes):
+    df = spark.createDataFrame([(1, f"Norvane Tamlignard, 06 39 98 51 19 ou +33 6 39 98 51 19, {NIR}.")], "id long, text string")
+    shown = [r.placeholder for r in pii.items(df, shapes, key="id", text="text", secret="k").orderBy("start_char").collect()]
+    text = pii.masked(df, shapes, key="id", text="text", secret="k").first().masked_text
+    assert len(shown) == 4 and all(s in text for s in shown)
+    assert shown[1][-13:] == shown[2][-13:]  # one number written in two ways
