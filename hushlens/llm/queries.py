@@ -111,17 +111,32 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return p5_restored(spark, sf).select("tab", "row_id")
 
 
+def p6_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row whose form has several spellings, with its class and the representative of its spelling."""
+    named = [canon.look_alike_classes(texts(spark, sf, name), key=key).withColumnRenamed(key, "row_id").withColumn("tab", F.lit(name)) for name, key in (("chunks", "chunk_key"), ("sentences", "sentence_id"))]
+    return union(named)
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     pairs = [canon.look_alikes(texts(spark, sf, name), key=key).select(F.lit(name).alias("tab"), "id_a", "id_b") for name, key in (("chunks", "chunk_key"), ("sentences", "sentence_id"))]
     return union(pairs)
 
 
+#: The fields that are brought to one form.
+FIELDS = (("chunks", "chunk_key", "text"), ("sentences", "sentence_id", "text"), ("sentences", "sentence_id", "normalized_text"))
+
+
+def _forms(spark: SparkSession, sf: str, form: Callable[[F.Column], F.Column]) -> DataFrame:
+    return union([texts(spark, sf, name).select(F.lit(f"{name}.{text}").alias("field"), F.col(key).alias("row_id"), form(F.col(text)).alias("form")) for name, key, text in FIELDS])
+
+
 def p6_canonical(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = texts(spark, sf, "chunks").select(F.lit("chunks.text").alias("field"), F.col("chunk_key").alias("row_id"), canon.canonical_text(F.col("text")).alias("form"))
-    rows = texts(spark, sf, "sentences")
-    bodies = rows.select(F.lit("sentences.text").alias("field"), F.col("sentence_id").alias("row_id"), canon.canonical_text(F.col("text")).alias("form"))
-    norms = rows.select(F.lit("sentences.normalized_text").alias("field"), F.col("sentence_id").alias("row_id"), canon.canonical_text(F.col("normalized_text")).alias("form"))
-    return union([chunks, bodies, norms])
+    return _forms(spark, sf, canon.canonical_text)
+
+
+def p6_united(spark: SparkSession, sf: str) -> DataFrame:
+    """Widths, blanks, invisible characters, hyphens and accents united, letters of other scripts left: what SQL can state."""
+    return _forms(spark, sf, lambda t: F.md5(canon.canonical_text(t, alike=False)))
 
 
 def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
@@ -187,7 +202,7 @@ def p9_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p1_rebuilt, p1_limits, p2_found, p2_items, p2_masked, p2_dated, p3_found, p3_units, p4_found, p4_ranked, p5_found, p5_restored, p6_found, p6_canonical, p7_found, p7_containers, p7_report, p7_rebuilt, p7_kept, p8_found, p8_mix, p8_report, p8_kept, p9_found, p9_clean)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_rebuilt, p1_limits, p2_found, p2_items, p2_masked, p2_dated, p3_found, p3_units, p4_found, p4_ranked, p5_found, p5_restored, p6_found, p6_classes, p6_canonical, p6_united, p7_found, p7_containers, p7_report, p7_rebuilt, p7_kept, p8_found, p8_mix, p8_report, p8_kept, p9_found, p9_clean)}
 
 
 _RANKED = """
@@ -197,8 +212,25 @@ _RANKED = """
 """
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def united(column: str) -> str:
+    """SQL of the united form: characters of several letters by a map, single ones by translate(), then composed."""
+    one = {k: v for k, v in canon.TABLE.items() if len(v) < 2}
+    order = sorted(one, key=lambda k: not one[k])  # what turns into nothing stands beyond the end of the second list
+    many = {k: v for k, v in canon.TABLE.items() if len(v) > 1}
+    pairs = ", ".join(f"{_quoted(k)}: {_quoted(v)}" for k, v in many.items())
+    spelt = f"array_to_string(list_transform(regexp_extract_all({column}, '(?s).'), lambda c: coalesce(map_extract_value(map {{{pairs}}}, c), c)), '')"
+    some = f"case when regexp_matches({column}, '[{''.join(many)}]') then {spelt} else {column} end"
+    out = f"translate({some}, {_quoted(''.join(order))}, {_quoted(''.join(one[k] for k in order))})"
+    return f"nfc_normalize({out})"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p6_united": " union all ".join(f"select '{name}.{text}' as field, {key} as row_id, md5({united(text)}) as form from {name}" for name, key, text in FIELDS),
         "p1_found": "select chunk_key from chunks c join size_limits s on lower(trim(c.file_type)) = lower(trim(s.file_type)) where length(text) > max_chars",
         "p1_rebuilt": "select chunk_key, md5(text) as md5 from chunks",
         "p1_limits": "select lower(trim(c.file_type)) as file_type, count(*) as chunks, count(*) filter (length(text) > max_chars) as cut, true as kept from chunks c join size_limits s on lower(trim(c.file_type)) = lower(trim(s.file_type)) group by 1",
