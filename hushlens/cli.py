@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import importlib.util
 import json
 import sys
 from collections.abc import Sequence
@@ -12,6 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from hushlens.config import load_config
+from hushlens.operators.backends import resources
 from hushlens.plans.pipeline import Analysis, as_chunks
 from hushlens.sources.files import read_directory, read_examples
 from hushlens.sources.reports import write_reports
@@ -24,15 +24,14 @@ def scan(spark: SparkSession, directory: str, config: str, output: str, single:
 
 
 def examples(spark: SparkSession, path: str, config: str) -> list[dict]:
-    """Per text its categories that are not clear."""
-    analysis = Analysis(as_chunks(read_examples(spark, path), id_col="text_id"), load_config(config))
-    flagged = F.filter("categories", lambda c: c["decision"] != "clear").alias("categories")
-    rows = analysis.audit.select(F.col("metadata.file_name").alias("text_id"), "decision_log", flagged).orderBy("text_id")
-    return [json.loads(r) for r in rows.toJSON().collect()]
-
-
-def resources() -> dict[str, bool]:
-    return {name: importlib.util.find_spec(name) is not None for name in ("yaml", "pypdf", "sentence_transformers", "spacy", "rapidfuzz")}
+    """Per text, in order of its id, the text, the log and its categories that are not clear. An example file is read by a person."""
+    given = read_examples(spark, path)
+    analysis = Analysis(as_chunks(given, id_col="text_id"), load_config(config))
+    shown = lambda c: F.struct(c["category_key"].alias("category_key"), c["category_label"].alias("label"), c["score"].alias("score"), c["decision"].alias("decision"), c["explanation"].alias("explanation"))
+    flagged = F.transform(F.filter("categories", lambda c: c["decision"] != "clear"), shown).alias("categories")
+    rows = analysis.audit.select(F.col("metadata.file_name").alias("text_id"), "decision_log", flagged)
+    rows = given.join(rows, "text_id").select("text_id", "text", "decision_log", "categories").orderBy("text_id")
+    return [json.loads(r) for r in rows.toJSON().toLocalIterator()]
 
 
 def main(argv: Sequence[str] | None = None) -> int:
@@ -46,11 +45,13 @@ def main(argv: Sequence[str] | None = None) -> int:
     e = commands.add_parser("examples")
     e.add_argument("--examples", required=True)
     e.add_argument("--config", default="configs/categories.yml")
-    commands.add_parser("resources")
+    r = commands.add_parser("resources")
+    r.add_argument("--config", default="configs/categories.yml")
     args = parser.parse_args(argv)
     if args.command == "resources":
-        print(json.dumps(resources(), indent=2))
-        return 0
+        found = resources(load_config(args.config))
+        print(json.dumps(found, indent=2, ensure_ascii=False))
+        return int(any(x["status"] == "failed" for x in found))
     spark = SparkSession.builder.appName("hushlens").getOrCreate()
     done = scan(spark, args.input_dir, args.config, args.output_dir, args.single_files) if args.command == "scan" else examples(spark, args.examples, args.config)
     print(json.dumps(done, indent=2, ensure_ascii=False))

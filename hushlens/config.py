@@ -103,7 +103,7 @@ class Config:
         return replace(self, **changes)
 
 
-#: Weights and thresholds where a configuration names none, as in the published documentation of the scoring scheme.
+# Weights and thresholds where a configuration names none, as in the published documentation of the scoring scheme.
 DEFAULT_SCORING = {"alert_threshold": 0.75, "review_threshold": 0.45, "method_weights": {"lexical": 0.40, "fuzzy": 0.25, "linguistic": 0.20, "semantic": 0.30, "presidio": 0.15}}
 
 _LISTS = ("terms", "synonyms", "context_terms", "field_hints", "semantic_anchors")

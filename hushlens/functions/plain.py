@@ -10,9 +10,10 @@ APOSTROPHES = "’`´ʼ"
 DASHES = "–—‐‑"
 # Word endings, tried in this order.
 SUFFIXES = (
-    "issements issement atrices atrice ations ation utions ution ances ance ences ence ements ement ateurs ateur euses euse "
-    "eaux eau iques ique istes iste ismes isme ables able ment ments tion tions ites ite ante ants ant tes te ses se ees ee es s e"
-).split()
+    "issements", "issement", "atrices", "atrice", "ations", "ation", "utions", "ution", "ances", "ance", "ences", "ence", "ements", "ement", "ateurs",
+    "ateur", "euses", "euse", "eaux", "eau", "iques", "ique", "istes", "iste", "ismes", "isme", "ables", "able", "ment", "ments", "tion", "tions",
+    "ites", "ite", "ante", "ants", "ant", "tes", "te", "ses", "se", "ees", "ee", "es", "s", "e",
+)
 ROOT_LENGTH = 6
 
 _UNITE = str.maketrans({**dict.fromkeys(APOSTROPHES, "'"), **dict.fromkeys(DASHES, "-")})
@@ -47,3 +48,13 @@ def root(token: str) -> str:
 def sentences(text: str) -> list[str]:
     """Non-blank pieces between blanks that follow . ! ? ; or a line break."""
     return [s for s in (p.strip() for p in re.split(r"(?<=[.!?\n;])\s+", text)) if s]
+
+
+def spans(text: str) -> list[tuple[int, int]]:
+    """Where the sentences stand in the text."""
+    out, at = [], 0
+    for s in sentences(text):
+        start = text.index(s, at)
+        at = start + len(s)
+        out.append((start, at))
+    return out

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from . import plain
 
@@ -102,6 +102,18 @@ def sentences(text: Column) -> Column:
     return F.filter(parts, lambda s: s != "")
 
 
+@arrow_udf(ArrayType(StructType().add("start_char", IntegerType()).add("end_char", IntegerType())))
+def _spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    kind = pa.list_(pa.struct([("start_char", pa.int32()), ("end_char", pa.int32())]))
+    for batch in batches:
+        yield pa.array([[{"start_char": a, "end_char": b} for a, b in plain.spans(t or "")] for t in batch.to_pylist()], kind)
+
+
+def sentence_spans(text: Column) -> Column:
+    """Array of (start_char, end_char) of the sentences; in one pass over the text, which array functions could not keep linear."""
+    return _spans(text)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+$", "")
 

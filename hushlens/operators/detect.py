@@ -19,6 +19,8 @@ from hushlens.config import Category, Config, Term
 from hushlens.functions import plain
 from hushlens.functions import text as T
 
+from hushlens.sources.tables import few, kept
+
 from .ratio import possible_pairs, weighted_ratio
 
 EVIDENCE = ("cat_ord", "method", "score", "trigger", "matched_variant", "sentence", "explanation", "context_hits", "field_hits", "overlap", "similarity", "sentence_index", "method_seq", "term_ord")
@@ -123,32 +125,34 @@ def _none(sentences: DataFrame, config: Config, keys: Sequence[str]) -> DataFram
     return _finish(rows, keys, config, F.lit(""), F.lit(0), F.lit(0.0), F.lit(""))
 
 
-def gram_rows(sentences: DataFrame, config: Config, keys: Sequence[str]) -> DataFrame:
-    """Runs of tokens of every length a term may be compared with, at least 4 characters without blanks."""
+def gram_rows(norms: DataFrame, config: Config) -> DataFrame:
+    """Runs of tokens of every length a term may be compared with, at least 4 characters without blanks: norm, n, pos, gram."""
     sizes = [max(1, len(t.tokens)) for t in config.lexicon()]
     low, high = max(1, min(sizes, default=1) - config.fuzzy_delta), max(sizes, default=1) + config.fuzzy_delta
-    rows = sentences.select(*keys, "sentence_index", F.explode(T.ngrams(F.col("tokens"), low, high)).alias("_g")).select(*keys, "sentence_index", "_g.n", "_g.pos", "_g.gram")
-    return rows.where(F.length(F.replace("gram", F.lit(" "), F.lit(""))) >= 4)
+    rows = norms.select("norm", F.explode(T.ngrams(F.col("tokens"), low, high)).alias("_g")).select("norm", "_g.n", "_g.pos", "_g.gram")
+    return rows.where(F.length("gram") - (F.col("n") - 1) >= 4)
 
 
 def fuzzy(sentences: DataFrame, config: Config, keys: Sequence[str]) -> DataFrame:
     """One evidence per sentence and term that is not there as a substring, with the most similar run of tokens.
 
-    Ratios are computed once per distinct run and term, and only for pairs that a lossless bound in the JVM lets through; of
+    Everything is done once for equal sentences and once for equal runs: the distinct runs of the distinct normalised sentences
+    meet the terms in the JVM, a lossless bound leaves few pairs, and only these go through the ratio. Pairs that are similar
+    enough go back to the sentences that hold the run, which no exchange of the runs is needed for while they are few. Of
     equally similar runs the shortest, then leftmost wins.
     """
     terms = config.lexicon()
     if not terms or config.fuzzy.get("enabled", True) is False:
         return _none(sentences, config, keys)
     threshold, delta = config.fuzzy_threshold, config.fuzzy_delta
-    grams = gram_rows(sentences, config, keys)
+    grams = gram_rows(sentences.dropDuplicates(["norm"]), config)
     pairs = possible_pairs(grams.select("gram", "n").distinct(), terms, threshold, delta)
-    ratios = pairs.withColumn("similarity", weighted_ratio(F.col("norm"), F.col("gram"))).where(F.col("similarity") >= threshold).select("gram", "n", "term_id", "similarity")
-    table = sentences.sparkSession.createDataFrame([(k, t.cat_ord, t.term_ord, t.term, t.norm) for k, t in enumerate(terms)], "term_id int, cat_ord int, term_ord int, trigger string, term_norm string")
-    near = grams.join(ratios, ["gram", "n"])
-    best = near.groupBy(*keys, "sentence_index", "term_id").agg(F.max(F.struct("similarity", (-F.col("n")).alias("n"), (-F.col("pos")).alias("pos"), "gram")).alias("_b"))
-    best = best.select(*keys, "sentence_index", "term_id", F.col("_b.similarity").alias("similarity"), F.col("_b.gram").alias("matched_variant"))
-    found = best.join(F.broadcast(table), "term_id").join(sentences.select(*keys, "sentence_index", "sentence", "norm"), [*keys, "sentence_index"]).where(~F.contains("norm", F.col("term_norm")))
+    ratios = kept(pairs.withColumn("similarity", weighted_ratio(F.col("norm"), F.col("gram"))).where(F.col("similarity") >= threshold).withColumnRenamed("norm", "_term"))
+    near = grams.join(few(ratios), ["gram", "n"]).where(~F.contains("norm", F.col("_term")))
+    best = near.groupBy("norm", "term_id").agg(F.max(F.struct("similarity", (-F.col("n")).alias("n"), (-F.col("pos")).alias("pos"), "gram")).alias("_b"))
+    best = kept(best.select("norm", "term_id", "_b.similarity", F.col("_b.gram").alias("matched_variant")))
+    table = sentences.sparkSession.createDataFrame([(k, t.cat_ord, t.term_ord, t.term) for k, t in enumerate(terms)], "term_id int, cat_ord int, term_ord int, trigger string")
+    found = sentences.select(*keys, "sentence_index", "sentence", "norm").join(few(best), "norm").join(F.broadcast(table), "term_id")
     text = F.concat(F.lit("Approximation fuzzy entre '"), "trigger", F.lit("' et '"), "matched_variant", F.lit("' avec une similarite de "), F.col("similarity").cast("string"), F.lit("."))
     return _finish(found, keys, config, F.lit("fuzzy"), F.lit(1), F.col("similarity") / 100 * 0.7, text)
 
@@ -172,6 +176,10 @@ def semantic(sentences: DataFrame, config: Config, keys: Sequence[str], encoder:
     return _finish(found, keys, config, F.lit("semantic"), F.lit(3), F.col("_s"), text)
 
 
+#: Anchors of one block: with vectors of 768 numbers some 6 MB.
+ANCHORS = 1_000
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -179,10 +187,19 @@ def dot(a: Column, b: Column) -> Column:
 def nearest_anchor(vectors: DataFrame, anchors: DataFrame, key: str, vector: str) -> DataFrame:
     """For every vector and category the anchor with the greatest dot product, the first of equals: key, cat_ord, anchor, similarity.
 
-    Anchors belong to the configuration, so their number is bounded; they are folded into one broadcast row.
+    Anchors are counted and folded into blocks of at most ANCHORS. One block, as a configuration has, is broadcast. Of more each
+    vector meets every block in a join on the block's number, salted so that no task gets all vectors.
     """
-    packed = anchors.agg(F.collect_list(F.struct("cat_ord", "anchor_ord", "anchor", "vector")).alias("_anchors"))
-    rows = vectors.select(key, F.col(vector).alias("_v")).join(F.broadcast(packed))
+    blocks = max(1, -(-anchors.count() // ANCHORS))
+    place = F.pmod(F.xxhash64("cat_ord", "anchor_ord"), F.lit(blocks)).cast("int")
+    packed = anchors.withColumn("_block", place).groupBy("_block").agg(F.collect_list(F.struct("cat_ord", "anchor_ord", "anchor", "vector")).alias("_anchors"))
+    rows = vectors.select(key, F.col(vector).alias("_v"))
+    if blocks == 1:
+        rows = rows.withColumn("_block", F.lit(0)).join(F.broadcast(packed), "_block")
+    else:
+        salts = vectors.sparkSession.sparkContext.defaultParallelism
+        packed = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        rows = rows.withColumns({"_salt": F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"), "_block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))}).join(packed, ["_block", "_salt"])
     scored = rows.select(key, F.explode(F.transform("_anchors", lambda a: F.struct(a["cat_ord"].alias("cat_ord"), dot(F.col("_v"), a["vector"]).alias("similarity"), (-a["anchor_ord"]).alias("first"), a["anchor"].alias("anchor")))).alias("_a"))
     return scored.groupBy(key, "_a.cat_ord").agg(F.max(F.struct("_a.similarity", "_a.first", "_a.anchor")).alias("_m")).select(key, "cat_ord", F.col("_m.anchor").alias("anchor"), F.col("_m.similarity").alias("similarity"))
 

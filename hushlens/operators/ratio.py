@@ -103,37 +103,74 @@ def weighted_ratio(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.
         yield pa.array([wratio(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
 
+#: Every character of normalised text but the blank; one bit each tells which occur in a string.
+ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789'-"
+
+
+def letters(text: Column) -> Column:
+    """Bits of the characters that occur. Inserting or deleting a character changes one bit at most, so two strings differ in no
+    more bits than their Indel distance, in whatever order their words stand."""
+    out = F.lit(0).cast("long")
+    for i, c in enumerate(ALPHABET):
+        out = out.bitwiseOR(F.when(F.contains(text, F.lit(c)), F.lit(1 << i)).otherwise(F.lit(0).cast("long")))
+    return out
+
+
+def _letters(text: str) -> int:
+    return sum(1 << i for i, c in enumerate(ALPHABET) if c in text)
+
+
+def word_bits(words: Column) -> Column:
+    """One of 64 bits for each word, by its hash: lists without a bit in common have no word in common."""
+    bit = lambda w: F.lit(1).cast("long") * F.pow(F.lit(2.0), F.pmod(F.xxhash64(w), F.lit(62))).cast("long")
+    return F.aggregate(words, F.lit(0).cast("long"), lambda s, w: s.bitwiseOR(bit(w)))
+
+
 def possible_pairs(grams: DataFrame, terms: Sequence[Term], threshold: float, delta: int) -> DataFrame:
-    """Pairs of runs and terms whose weighted ratio may reach the threshold: gram, n, term_id, norm.
+    """Runs joined to the terms with which their weighted ratio may reach the threshold: the columns of grams, term_id, norm.
 
     A pair is kept if its run has a length in tokens within delta of the term's and enough characters, and if one of these
     holds: the Indel ratio can reach the threshold (Levenshtein is at most the Indel distance); so can the token sort ratio
     after the weight 0.95; a token is shared; or the lengths differ by half and the partial ratio counts. Nothing that can
-    reach the threshold is lost; for a threshold of 85.5 or less the last case is not narrowed at all.
+    reach the threshold is lost; for a threshold of 85.5 or less the last case is not narrowed at all. Distances are only
+    computed for pairs that the bits of their letters let through, a few machine operations a pair.
     """
     spark = grams.sparkSession
-    rows = [(k, t.norm, " ".join(sorted(t.tokens)), list(t.tokens), max(1, len(t.tokens)), len(t.norm), len(t.norm.replace(" ", ""))) for k, t in enumerate(terms)]
-    table = spark.createDataFrame(rows, "term_id int, norm string, sorted string, words array<string>, size int, chars int, letters int")
-    sizes = table.select("*", F.explode(F.sequence(F.greatest(F.lit(1), F.col("size") - delta), F.greatest(F.lit(1), F.col("size") + delta))).alias("n"))
-    g = grams.withColumns({"_chars": F.length("gram"), "_letters": F.length(F.replace("gram", F.lit(" "), F.lit(""))), "_words": F.split("gram", " ")}).withColumn("_sorted", F.array_join(F.array_sort("_words"), " "))
-    pairs = g.join(F.broadcast(sizes), "n").where(F.col("_letters") >= F.greatest(F.lit(4), F.col("letters") - 2))
-    total = F.col("_chars") + F.col("chars")
+    rows = [(k, t.norm, " ".join(sorted(t.tokens)), list(t.tokens), max(1, len(t.tokens)), len(t.norm), len(t.norm.replace(" ", "")), _letters(t.norm), len(" ".join(set(t.tokens)))) for k, t in enumerate(terms)]
+    table = spark.createDataFrame(rows, "term_id int, norm string, _tsorted string, _twords array<string>, _size int, _tchars int, _tletters int, _tbits long, _tset int")
+    table = table.withColumn("_thashed", word_bits(F.col("_twords")))
+    sizes = table.select("*", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_size") - delta), F.greatest(F.lit(1), F.col("_size") + delta))).alias("n"))
+    g = grams.withColumn("_words", F.split("gram", " "))
+    g = g.withColumns({
+        "_chars": F.length("gram"), "_letters": F.length("gram") - (F.col("n") - 1), "_bits": letters(F.col("gram")), "_hashed": word_bits(F.col("_words")),
+        "_sorted": F.array_join(F.array_sort("_words"), " "), "_set": F.length(F.array_join(F.array_distinct("_words"), " ")),
+    })
+    pairs = g.join(F.broadcast(sizes), "n").where(F.col("_letters") >= F.greatest(F.lit(4), F.col("_tletters") - 2))
+    total = F.col("_chars") + F.col("_tchars")
     near = F.ceil(total * (1 - threshold / 100) + 1e-9).cast("int")
     near_sorted = F.ceil(total * (1 - min(1.0, threshold / 95)) + 1e-9).cast("int")
     apart = F.lit(True)
     if threshold > 85.5 and threshold / 0.9 > 95:
         # Only 0.9 * partial can count. A partial ratio of p needs 2 * lcs / (n + w) >= p for a window of w <= n characters;
         # with fewer than (2 - p) / (2 - 2p) characters, one missing is too many, so the shorter is a substring.
-        short = F.least("_chars", "chars")
+        short = F.least("_chars", "_tchars")
         inside = F.contains(F.col("gram"), F.col("norm")) | F.contains(F.col("norm"), F.col("gram"))
         p = threshold / 90
         apart = (inside | (short >= (2 - p) / (2 * (1 - p)) - 1e-9) if p < 1 else inside)
     # A bound on every distance that can count, so that the distance is only computed near the diagonal; beyond it is -1.
     bound = int(2.5 * max((len(t.norm) for t in terms), default=0) * (1 - min(1.0, threshold / 100)) + 2)
     distance = lambda x, y: F.pmod(F.levenshtein(x, y, bound), F.lit(10_000))
-    gap = F.abs(F.col("_chars") - F.col("chars"))
-    several = (F.col("n") > 1) | (F.col("size") > 1)
-    alike = ((gap <= near) & (distance("gram", "norm") <= near)) | (several & (((gap <= near_sorted) & (distance("_sorted", "sorted") <= near_sorted)) | F.arrays_overlap("_words", "words")))
-    far = F.greatest("_chars", "chars") >= 1.5 * F.least("_chars", "chars")
-    keep = (~far & alike) | (far & apart)
-    return pairs.where(keep).select("gram", "n", "term_id", "norm")
+    gap = F.abs(F.col("_chars") - F.col("_tchars"))
+    differ = F.bit_count(F.col("_bits").bitwiseXOR(F.col("_tbits")))
+    several = (F.col("n") > 1) | (F.col("_size") > 1)
+    same_order = (gap <= near) & (differ <= near) & (distance(F.col("gram"), F.col("norm")) <= near)
+    alike = differ <= near_sorted
+    any_order = alike & (gap <= near_sorted) & (distance(F.col("_sorted"), F.col("_tsorted")) <= near_sorted)
+    # With words in common the rest may be as alike, or the common words may be nearly all of one side.
+    common = F.length(F.array_join(F.array_intersect("_words", "_twords"), " "))
+    least = F.lit(min(1.0, threshold / 95) - 1e-9)
+    most = (2 * common >= least * (common + F.col("_set"))) | (2 * common >= least * (common + F.col("_tset")))
+    shared = (F.col("_hashed").bitwiseAND(F.col("_thashed")) != 0) & F.arrays_overlap("_words", "_twords") & (alike | most)
+    far = F.greatest("_chars", "_tchars") >= 1.5 * F.least("_chars", "_tchars")
+    keep = (~far & (same_order | (several & (any_order | shared)))) | (far & apart)
+    return pairs.where(keep).select(*grams.columns, "term_id", "norm")

@@ -11,6 +11,7 @@ from hushlens.functions import text as T
 
 from .score import method_rank
 
+# The columns of the reports, in their order.
 FINDINGS = "file_name file_path file_type chunk_id page_number line_number entity_name category_label method matched_text matched_variant raw_score adjusted_score category_score decision context_hits field_hits excerpt explanation".split()
 SUMMARY = "file_name file_path file_type status chunk_count finding_count max_score max_risk_level top_categories error_message".split()
 METADATA = ("file_name", "file_path", "file_type", "chunk_id", "page_number")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hushlens.config import METHODS, Category, Config
 from hushlens.functions import text as T
 
+# Fixed value: what the explanation says without evidence.
 NO_EVIDENCE = "Aucune evidence significative."
 
 

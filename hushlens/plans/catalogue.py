@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +14,9 @@ from hushlens.functions import text as T
 from hushlens.operators import analytics, detect, score
 from hushlens.operators.report import FINDINGS
 from hushlens.plans import sql
-from hushlens.plans.pipeline import Analysis, sentences
-from hushlens.sources.tables import read_table, widened
+from hushlens.plans.pipeline import Analysis, offsets, sentences
+from hushlens.sources import files, reports
+from hushlens.sources.tables import kept, read_table, widened
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEYS = ("chunk_key",)
@@ -96,7 +99,8 @@ def _shown(evidence: DataFrame) -> DataFrame:
 def _detected(method: str) -> Query:
     def query(spark: SparkSession, sf: str) -> DataFrame:
         c = config(spark, sf)
-        return _shown(detect.DETECTORS[method](sentences(table(spark, sf, "chunks"), c, KEYS), c, KEYS))
+        rows = sentences(table(spark, sf, "chunks"), c, KEYS)
+        return _shown(detect.DETECTORS[method](kept(rows) if method == "fuzzy" else rows, c, KEYS))
 
     return query
 
@@ -202,11 +206,82 @@ def evidence_semantic_topk(spark: SparkSession, sf: str) -> DataFrame:
     return near.select("vec_id", "anchor", F.round("similarity", 4).alias("similarity"))
 
 
+def sentence_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    return offsets(table(spark, sf, "chunks"), KEYS)
+
+
+def letter_counts(text: F.Column) -> F.Column:
+    """A unit vector of how often each letter occurs: a stand-in for a sentence model, which SQL can state too."""
+    counts = [F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in LETTERS]
+    norm = F.sqrt(sum((n * n for n in counts[1:]), counts[0] * counts[0]).cast("double"))
+    return F.array(*(F.when(norm > 0, n / norm).otherwise(0.0) for n in counts))
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Two sentences with nearly the same letters.
+LETTERS_ALIKE = 0.93
+
+
+def evidence_semantic(spark: SparkSession, sf: str) -> DataFrame:
+    """The semantic detector with the stand-in encoder."""
+    c = config(spark, sf).with_(semantic={"enabled": True, "similarity_threshold": LETTERS_ALIKE})
+    rows = sentences(table(spark, sf, "chunks"), c, KEYS)
+    return detect.semantic(rows, c, KEYS, letter_counts).select("chunk_key", "sentence_index", "cat_ord", "trigger", F.round("similarity", 3).alias("similarity"), F.round("score", 3).alias("score"))
+
+
+def _folder(spark: SparkSession, sf: str, name: str) -> str:
+    """A folder of this run for what a query writes and reads again: in the shared folder of spark.checkpoint.dir, where one is named."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return f"{shared.rstrip('/')}/hushlens-{spark.sparkContext.applicationId}/{Path(sf).name}/{name}"
+
+
+def _reports(spark: SparkSession, sf: str) -> dict[str, str]:
+    return reports.write_reports(analysis(spark, sf), _folder(spark, sf, "reports"))
+
+
+def written_findings_csv(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.read_findings(spark, _reports(spark, sf)["findings_csv"])
+
+
+def written_findings_json(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.schema(reports.FINDINGS_SCHEMA).json(_reports(spark, sf)["findings_json"])
+
+
+def written_summary_csv(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.read_summary(spark, _reports(spark, sf)["summary_csv"])
+
+
+def written_audit_json(spark: SparkSession, sf: str) -> DataFrame:
+    return analytics.overview(reports.read_audit(spark, _reports(spark, sf)["audit_json"]))
+
+
+#: Files a table is written to for reading it as a directory.
+FILES = 64
+
+
+def _as_files(spark: SparkSession, sf: str, form: str, *columns: str) -> DataFrame:
+    """The chunks written as FILES files of one form, by key, and read again as a directory: bucket and text of each file."""
+    rows = table(spark, sf, "chunks").where("text is not null").withColumn("bucket", F.pmod("chunk_key", F.lit(FILES)))
+    rows = rows.repartition(FILES, "bucket").sortWithinPartitions("bucket", "chunk_key").select("bucket", *columns)
+    folder = _folder(spark, sf, form)
+    rows.write.mode("overwrite").partitionBy("bucket").options(**({"header": True, "escape": '"'} if form == "csv" else {})).format(form).save(folder)
+    got = files.read_directory(spark, folder)
+    return got.select(F.regexp_extract("file_path", "bucket=(\\d+)", 1).cast("long").alias("bucket"), "file_type", F.md5("text").alias("md5"))
+
+
+def files_text(spark: SparkSession, sf: str) -> DataFrame:
+    return _as_files(spark, sf, "text", "text")
+
+
+def files_csv(spark: SparkSession, sf: str) -> DataFrame:
+    return _as_files(spark, sf, "csv", "chunk_key", "file_name", "chunk_id")
+
+
 def queries() -> dict[str, Query]:
     plain = (
         normalize_text, tokenize, token_ngrams, sentence_split, sentence_counts, root_forms, lexicon_flatten, context_field_hits, evidence_dedup, method_scores,
         category_scores, category_decisions, top3_explanation, findings, summary, full_decisions, full_findings, full_summary, document_decisions, audit_overview,
-        first_flagged, decision_log_counts, pivot_file_category, top20_findings, alerts_only, review_fuzzy, focus_file, evidence_semantic_topk,
+        first_flagged, sentence_offsets, evidence_semantic, written_findings_csv, written_findings_json, written_summary_csv, written_audit_json, files_text, files_csv, decision_log_counts, pivot_file_category, top20_findings, alerts_only, review_fuzzy, focus_file, evidence_semantic_topk,
     )
     out: dict[str, Query] = {f.__name__: f for f in plain}
     out |= {f"evidence_{m}": _detected(m) for m in detect.DETECTORS}
@@ -223,7 +298,11 @@ def oracle_sql() -> dict[str, str]:
     hit = "list_transform(list_filter(c.{l}, lambda x: contains(s.norm, x.norm)), lambda x: x.raw)"
     counted = "select {c}, count(*) as n from article9_findings group by 1"
     log = "linguistics_backend:regex | fuzzy:disabled_or_unavailable | semantic:network_disabled | semantic:disabled_config"
+    letters = "list_transform(string_split('" + LETTERS + "', ''), lambda k: case when regexp_matches({x}, '[a-z]') then (length({x}) - length(replace({x}, k, ''))) / sqrt(list_sum(list_transform(string_split('" + LETTERS + "', ''), lambda m: pow(length({x}) - length(replace({x}, m, '')), 2)))) else 0e0 end)"
     unit = "list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double))))"
+    finding_rows = f"select chunk_key, f.file_name, f.file_path, f.file_type, f.chunk_id, f.page_number, null::int as line_number, f.category_key as entity_name, f.category_label, method, trigger as matched_text, matched_variant, e1.score as raw_score, e1.score as adjusted_score, category_score, decision, array_to_string(context_hits, '|') as context_hits, array_to_string(field_hits, '|') as field_hits, sentence as excerpt, explanation from e1 join ({flagged.format(key='chunk_key')}) f using (chunk_key, cat_ord)"
+    audit_rows = f"select concat_ws(':', file_name, chunk_id) as text_id, file_path, chunk_id, coalesce(string_agg(category_key || ':' || decision, ' | ' order by cat_ord) filter (decision <> 'clear'), '') as active_categories, '{log}' as decision_log from r group by chunk_key, file_name, file_path, chunk_id"
+    summary_rows = "select min(file_name) as file_name, file_path, min(file_type) as file_type, 'ok' as status, count(distinct chunk_key) as chunk_count, coalesce(sum(n_evidence) filter (decision <> 'clear'), 0)::bigint as finding_count, round(coalesce(max(score) filter (decision <> 'clear'), 0.0), 4)::double as max_score, case max(case decision when 'alert' then 2 when 'review' then 1 else 0 end) when 2 then 'alert' when 1 then 'review' else 'clear' end as max_risk_level, coalesce(array_to_string(list_sort(list(distinct category_key || ':' || printf('%.2f', score)) filter (decision <> 'clear')), '|'), '') as top_categories, '' as error_message from r group by file_path"
     return {
         "normalize_text": f"select chunk_key, {sql.norm('text')} as norm from chunks",
         "tokenize": f"with n as (select chunk_key, {sql.tokens(sql.norm('text'))} as t from chunks) select chunk_key, len(t)::int as n_tokens, array_to_string(t, ' ') as tokens from n",
@@ -238,12 +317,24 @@ def oracle_sql() -> dict[str, str]:
         "evidence_dedup": f"{se} select {shown} from e1",
         "method_scores": f"{se} select chunk_key, cat_ord, method, max(score) as method_score from e1 group by 1, 2, 3",
         "category_scores": sql.pipeline("select chunk_key, cat_ord, score, n_evidence from sc"),
+        "evidence_fuzzy": f"{s}, {sql.evidence(with_fuzzy=True)} select {shown} from e where method = 'fuzzy'",
+        "full_decisions": sql.pipeline(f"select {result.format(key='chunk_key')} from r", with_fuzzy=True),
+        "full_findings": sql.pipeline(finding_rows, with_fuzzy=True),
+        "full_summary": sql.pipeline(summary_rows, with_fuzzy=True),
+        "sentence_offsets": f"with recursive c as (select chunk_key, text, {sql.sentence_list('text')} as l from chunks), o as (select chunk_key, 0 as i, instr(text, l[1]) - 1 as a from c where len(l) > 0 union all select o.chunk_key, i + 1, a + length(l[i + 1]) + instr(substr(text, a + length(l[i + 1]) + 1), l[i + 2]) - 1 from o join c using (chunk_key) where i + 1 < len(l)) select chunk_key, i::int as sentence_index, a::int as start_char, (a + length(l[i + 1]))::int as end_char from o join c using (chunk_key)",
+        "evidence_semantic": f"{s}, {sql.CATEGORIES}, an as (select c.cat_ord, ord, a as trigger, {letters.format(x='a')} as w from cats c, unnest(c.semantic_anchors) with ordinality u(a, ord)), v as (select chunk_key, sentence_index, norm, {letters.format(x='sentence')} as v from s), d as (select chunk_key, sentence_index, norm, cat_ord, trigger, ord, list_sum(list_transform(range(1, 27), lambda i: v[i] * w[i])) as d from v cross join an), b as (select * from d qualify row_number() over (partition by chunk_key, sentence_index, cat_ord order by d desc, ord) = 1) select chunk_key, sentence_index::int as sentence_index, b.cat_ord, trigger, round(round(d, 4), 3) as similarity, round(round(least(1.0, d + 0.05::double * len(list_filter(c.ctx, lambda x: contains(norm, x.norm))) + 0.04::double * len(list_filter(c.fld, lambda x: contains(norm, x.norm)))), 4), 3) as score from b join cats c using (cat_ord) where d >= {LETTERS_ALIKE}::double",
+        "written_findings_csv": "select * replace (nullif(context_hits, '') as context_hits, nullif(field_hits, '') as field_hits) from (" + sql.pipeline(finding_rows.replace("select chunk_key, ", "select ", 1)) + ")",
+        "written_findings_json": sql.pipeline(finding_rows.replace("select chunk_key, ", "select ", 1)),
+        "written_summary_csv": f"select * replace (nullif(top_categories, '') as top_categories, null as error_message) from ({sql.pipeline(summary_rows)})",
+        "written_audit_json": sql.pipeline(audit_rows),
+        "files_text": f"select chunk_key % {FILES} as bucket, '.txt' as file_type, md5(replace(replace(string_agg(text || chr(10), '' order by chunk_key), chr(13) || chr(10), chr(10)), chr(13), chr(10))) as md5 from chunks where text is not null group by 1",
+        "files_csv": f"with n as (select *, chunk_key % {FILES} as bucket, row_number() over (partition by chunk_key % {FILES} order by chunk_key) as k from chunks where text is not null) select bucket, '.csv' as file_type, md5(string_agg('row=' || k || ': chunk_key=' || chunk_key || ', file_name=' || coalesce(file_name, '') || ', chunk_id=' || coalesce(chunk_id, ''), chr(10) order by k)) as md5 from n group by 1",
         "category_decisions": sql.pipeline(f"select {result.format(key='chunk_key')} from r"),
         "document_decisions": sql.pipeline(f"select {result.format(key='doc_id')} from r", "documents", "doc_id"),
         "top3_explanation": sql.pipeline("select chunk_key, cat_ord, explanation from r"),
-        "findings": sql.pipeline(f"select chunk_key, f.file_name, f.file_path, f.file_type, f.chunk_id, f.page_number, null::int as line_number, f.category_key as entity_name, f.category_label, method, trigger as matched_text, matched_variant, e1.score as raw_score, e1.score as adjusted_score, category_score, decision, array_to_string(context_hits, '|') as context_hits, array_to_string(field_hits, '|') as field_hits, sentence as excerpt, explanation from e1 join ({flagged.format(key='chunk_key')}) f using (chunk_key, cat_ord)"),
-        "summary": sql.pipeline("select min(file_name) as file_name, file_path, min(file_type) as file_type, 'ok' as status, count(distinct chunk_key) as chunk_count, coalesce(sum(n_evidence) filter (decision <> 'clear'), 0)::bigint as finding_count, round(coalesce(max(score) filter (decision <> 'clear'), 0.0), 4)::double as max_score, case max(case decision when 'alert' then 2 when 'review' then 1 else 0 end) when 2 then 'alert' when 1 then 'review' else 'clear' end as max_risk_level, coalesce(array_to_string(list_sort(list(distinct category_key || ':' || printf('%.2f', score)) filter (decision <> 'clear')), '|'), '') as top_categories, '' as error_message from r group by file_path"),
-        "audit_overview": sql.pipeline(f"select concat_ws(':', file_name, chunk_id) as text_id, file_path, chunk_id, coalesce(string_agg(category_key || ':' || decision, ' | ' order by cat_ord) filter (decision <> 'clear'), '') as active_categories, '{log}' as decision_log from r group by chunk_key, file_name, file_path, chunk_id"),
+        "findings": sql.pipeline(finding_rows),
+        "summary": sql.pipeline(summary_rows),
+        "audit_overview": sql.pipeline(audit_rows),
         "first_flagged": sql.pipeline("select concat_ws(':', file_name, chunk_id) as text_id, file_path, count(*)::int as n_categories from r group by chunk_key, file_name, file_path, chunk_id order by bool_or(decision <> 'clear') desc, file_path, chunk_id limit 1"),
         "decision_log_counts": f"select unnest(string_split('{log}', ' | ')) as entry, (select count(*) from chunks) as n",
         "count_by_category": counted.format(c="category_label"),

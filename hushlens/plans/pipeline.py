@@ -12,17 +12,31 @@ from pyspark.sql import functions as F
 from hushlens.config import Config
 from hushlens.functions import text as T
 from hushlens.operators import detect, report, score
+from hushlens.operators.backends import Linguistics, transformer_encoder
+from hushlens.sources.tables import kept
 
 
-def sentences(chunks: DataFrame, config: Config, keys: Sequence[str], text: str = "text") -> DataFrame:
-    """keys, sentence_index, sentence, norm, tokens, roots of the non-blank sentences of every chunk."""
-    rows = chunks.select(*keys, F.posexplode(T.sentences(F.col(text))).alias("sentence_index", "sentence"))
-    rows = rows.withColumn("norm", T.normalize(F.col("sentence"), **config.normalization))
-    rows = rows.withColumn("tokens", T.tokens(F.col("norm")))
-    return rows.withColumn("roots", T.roots(F.col("tokens")))
+def sentences(chunks: DataFrame, config: Config, keys: Sequence[str], text: str = "text", linguistics: Linguistics = Linguistics()) -> DataFrame:
+    """keys, sentence_index, sentence, norm, tokens, roots of the non-blank sentences of every chunk.
+
+    A backend of one's own gives sentences with base forms, of which the roots are then made.
+    """
+    if linguistics.units is None:
+        rows = chunks.select(*keys, F.posexplode(T.sentences(F.col(text))).alias("sentence_index", "sentence"))
+        words = F.col("tokens")
+    else:
+        rows = chunks.select(*keys, F.posexplode(linguistics.units(F.col(text))).alias("sentence_index", "_u")).select(*keys, "sentence_index", "_u.sentence", "_u.lemmas")
+        words = F.filter(F.transform("lemmas", lambda w: T.normalize(w, rare=False)), lambda w: w != "")
+    rows = rows.withColumn("norm", T.normalize(F.col("sentence"), **config.normalization)).withColumn("tokens", T.tokens(F.col("norm")))
+    return rows.withColumn("roots", T.roots(words)).drop("lemmas")
+
+
+def offsets(chunks: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
+    """keys, sentence_index, start_char, end_char of the sentences, in code points of the text."""
+    return chunks.select(*keys, F.posexplode(T.sentence_spans(F.col(text))).alias("sentence_index", "_s")).select(*keys, "sentence_index", "_s.start_char", "_s.end_char")
 
 
-def semantic_status(config: Config, encoder: object | None) -> list[str]:
+def semantic_status(config: Config, encoder: object | None, error: str = "") -> list[str]:
     """Log entries on the semantic layer."""
     allowed = bool(config.semantic.get("allow_network_download", False))
     local = bool(config.semantic.get("local_files_only", True))
@@ -32,7 +46,8 @@ def semantic_status(config: Config, encoder: object | None) -> list[str]:
         status = "local_loaded" if local else "loaded_with_network_allowed"
     else:
         status = "disabled_missing_local_model" if local else "disabled_load_error" if allowed else "network_disabled"
-    return ["semantic:network_allowed" if allowed else "semantic:network_disabled", f"semantic:{status}"]
+    log = ["semantic:network_allowed" if allowed else "semantic:network_disabled", f"semantic:{status}"]
+    return [*log, f"semantic:error:{error}"] if error else log
 
 
 @dataclass
@@ -45,10 +60,18 @@ class Analysis:
     text: str = "text"
     encoder: Callable[[Column], Column] | None = None
     detectors: Sequence[str | Callable[..., DataFrame]] = ("lexical", "fuzzy", "linguistic")
+    linguistics: Linguistics = Linguistics()
+    error: str = ""
+
+    def __post_init__(self) -> None:
+        if self.encoder is None and self.config.semantic.get("enabled", False):
+            self.encoder, self.error = transformer_encoder(self.config)
 
     @cached_property
     def sentences(self) -> DataFrame:
-        return sentences(self.chunks, self.config, self.keys, self.text)
+        """Cut, normalised and rooted once; detectors that read them several times then read the checkpoint."""
+        rows = sentences(self.chunks, self.config, self.keys, self.text, self.linguistics)
+        return kept(rows) if "fuzzy" in self.detectors else rows
 
     @cached_property
     def evidence(self) -> DataFrame:
@@ -57,9 +80,14 @@ class Analysis:
             found = found.unionByName(detect.semantic(self.sentences, self.config, self.keys, self.encoder))
         return detect.deduplicate(found, self.keys)
 
+    @cached_property
+    def kept_evidence(self) -> DataFrame:
+        """The evidence for results that read it twice."""
+        return kept(self.evidence) if "fuzzy" in self.detectors else self.evidence
+
     @cached_property
     def scores(self) -> DataFrame:
-        return score.category_scores(self.evidence, self.config, self.keys)
+        return score.category_scores(self.kept_evidence, self.config, self.keys)
 
     @cached_property
     def results(self) -> DataFrame:
@@ -68,7 +96,7 @@ class Analysis:
 
     @property
     def findings(self) -> DataFrame:
-        return report.findings(self.evidence, self.results, self.keys)
+        return report.findings(self.kept_evidence, self.results, self.keys)
 
     @property
     def summary(self) -> DataFrame:
@@ -76,12 +104,12 @@ class Analysis:
 
     @property
     def audit(self) -> DataFrame:
-        return report.audit(self.evidence, self.results, self.keys, self.decision_log)
+        return report.audit(self.kept_evidence, self.results, self.keys, self.decision_log)
 
     @property
     def decision_log(self) -> list[str]:
         used = "fuzzy" in self.detectors and self.config.fuzzy.get("enabled", True) is not False
-        return ["linguistics_backend:regex", "fuzzy:builtin" if used else "fuzzy:disabled_or_unavailable", *semantic_status(self.config, self.encoder)]
+        return [f"linguistics_backend:{self.linguistics.name}", "fuzzy:builtin" if used else "fuzzy:disabled_or_unavailable", *semantic_status(self.config, self.encoder, self.error)]
 
 
 def as_chunks(df: DataFrame, *, id_col: str, text: str = "text", file_type: Column | None = None) -> DataFrame:

@@ -12,9 +12,9 @@ import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from urllib.parse import unquote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,20 +140,43 @@ def parse(files: DataFrame, fail_fast: bool = True) -> DataFrame:
     return rows.select("file_path", "file_name", "content", "file_type").mapInPandas(read, CHUNKS)
 
 
-def with_empty(files: DataFrame) -> DataFrame:
-    """Files of no bytes, which Spark's reader leaves out, added back with empty content."""
-    spark = files.sparkSession
-    listed = spark.createDataFrame([(unquote(f),) for f in files.inputFiles()], "path string")
-    bare = lambda c: F.regexp_replace(c, "^file:/*(?=/)", "")
-    missing = listed.select(bare("path").alias("path")).join(files.select(bare("path").alias("path")), "path", "left_anti")
-    return files.select("path", "content").unionByName(missing.withColumn("content", F.lit(b"")))
+def empty_files(spark: SparkSession, directory: str) -> DataFrame:
+    """Files of no bytes below a directory, which Spark's reader leaves out: path, content.
+
+    Tasks list: one the directory itself, others each of its subdirectories with all below it. No path reaches the driver.
+    """
+    ddl = "path string, is_dir boolean, size bigint"
+    schema = pa.schema([("path", pa.string()), ("is_dir", pa.bool_()), ("size", pa.int64())])
+    root = re.sub("^file:/*(?=/)", "", directory)
+    remote = re.match(r"[a-z0-9]+://[^/]*", root)
+    prefix = remote.group() if remote else ""
+    where = root.replace("s3a://", "s3://", 1) if remote else ""
+    root = root[len(prefix) :] or "/"
+
+    def listing(recursive: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyarrow import fs
+
+            system = fs.FileSystem.from_uri(where)[0] if where else fs.LocalFileSystem()
+            for batch in batches:
+                for at in batch.column(0).to_pylist():
+                    found = system.get_file_info(fs.FileSelector(at, recursive=recursive))
+                    rows = [(f.path, f.type == fs.FileType.Directory, f.size or 0) for f in found]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else ((), (), ()), schema)], schema=schema)
+
+        return run
+
+    top = spark.createDataFrame([(root,)], "path string").mapInArrow(listing(False), ddl)
+    below = top.where("is_dir").select("path").repartition(spark.sparkContext.defaultParallelism).mapInArrow(listing(True), ddl)
+    found = top.unionByName(below).where("not is_dir and size = 0")
+    return found.select(F.concat(F.lit(prefix), "path").alias("path"), F.lit(b"").alias("content"))
 
 
 def read_directory(spark: SparkSession, directory: str, fail_fast: bool = True) -> DataFrame:
     """Chunks of all supported files below a directory, in no particular order."""
     pattern = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in s[1:]) for s in SUFFIXES) + "}"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(directory)
-    return parse(with_empty(files), fail_fast)
+    return parse(files.select("path", "content").unionByName(empty_files(spark, directory)), fail_fast)
 
 
 def read_examples(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from hushlens.config import DEFAULT_SCORING, config_of, load_config
 from hushlens.operators import detect, ratio
+from hushlens.operators.backends import Linguistics, spacy_linguistics
 from hushlens.plans.pipeline import Analysis, analyze_text, as_chunks
 
 RAW = {
@@ -88,7 +89,8 @@ def test_semantic_with_encoder(spark, config):
 def test_decision_log(spark, config):
     assert analyze_text(spark, "x", config).decision_log == ["linguistics_backend:regex", "fuzzy:builtin", "semantic:network_disabled", "semantic:disabled_config"]
     missing = config.with_(semantic={"enabled": True, "model_name": "none"})
-    assert analyze_text(spark, "x", missing).decision_log[-1] == "semantic:disabled_missing_local_model"
+    log = analyze_text(spark, "x", missing).decision_log
+    assert log[3] == "semantic:disabled_missing_local_model" and log[4].startswith("semantic:error:") and len(log) == 5
 
 
 def test_yaml(tmp_path):
@@ -126,3 +128,33 @@ def test_pruning_loses_nothing(spark, config):
             size = max(1, len(t.tokens))
             if abs(n - size) <= 1 and n >= max(1, size - 1) and len(g.replace(" ", "")) >= max(4, len(t.norm.replace(" ", "")) - 2) and ratio.wratio(t.norm, g) >= 88:
                 assert (g, k) in kept
+
+
+def test_backend_of_ones_own(spark, config):
+    units = lambda text: F.transform(F.split(text, "[|]"), lambda s: F.struct(s.alias("sentence"), F.array(F.lit("paroisses"), F.lit("")).alias("lemmas")))
+    rows = as_chunks(spark.createDataFrame([("t", "Un mot.|Visite de l'église")], "id string, text string"), id_col="id")
+    a = Analysis(rows, config, linguistics=Linguistics("own", units), detectors=("lexical", "linguistic"))
+    assert [(r.sentence_index, r.sentence, r.roots) for r in a.sentences.orderBy("sentence_index").collect()] == [(0, "Un mot.", ["parois"]), (1, "Visite de l'église", ["parois"])]
+    assert a.decision_log[0] == "linguistics_backend:own" and {r.method for r in a.evidence.collect()} == {"lexical", "linguistic"}
+    assert spacy_linguistics("no_such_model").name == "regex"
+
+
+def test_anchors_in_blocks(spark, monkeypatch):
+    vectors = spark.createDataFrame([(n, [float(n % 7), float(n % 5), 1.0]) for n in range(40)], "id int, v array<double>")
+    anchors = spark.createDataFrame([(k % 2, k, f"a{k}", [float(k % 3), float(k % 4), 0.5]) for k in range(23)], "cat_ord int, anchor_ord int, anchor string, vector array<double>")
+    near = lambda: sorted(map(tuple, detect.nearest_anchor(vectors, anchors, "id", "v").collect()))
+    whole = near()
+    monkeypatch.setattr(detect, "ANCHORS", 4)
+    assert near() == whole and len(whole) == 80
+
+
+def test_fuzzy_without_terms_or_matches(spark, config):
+    rows = spark.createDataFrame([("k", 0, "", "", [], []), ("k", 1, "x", "x", ["x"], ["x"])], "k string, sentence_index int, sentence string, norm string, tokens array<string>, roots array<string>")
+    assert detect.fuzzy(rows, config, ("k",)).count() == detect.fuzzy(rows.limit(0), config, ("k",)).count() == 0
+    assert detect.fuzzy(rows, config_of({"categories": []}), ("k",)).count() == 0
+
+
+def test_public_names():
+    import hushlens
+
+    assert hushlens.Analysis is Analysis and hushlens.load_config is load_config and hushlens.analyze_text is analyze_text

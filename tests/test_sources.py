@@ -52,6 +52,16 @@ def test_read_directory_in_any_case(spark, tmp_path):
     assert {r.file_name for r in files.read_directory(spark, str(tmp_path)).collect()} == {*names, "g.pDF"}
 
 
+def test_empty_files_at_any_depth(spark, tmp_path):
+    deep = tmp_path / "a" / "b" / "c d"
+    deep.mkdir(parents=True)
+    for at in (tmp_path / "é.txt", tmp_path / "a" / "x.md", deep / "y.TXT", deep / "z.docx"):
+        at.write_bytes(b"")
+    (deep / "full.txt").write_text("mot")
+    got = {(r.file_path, r.text) for r in files.read_directory(spark, f"file://{tmp_path}").collect()}
+    assert got == {(str(tmp_path / "é.txt"), ""), (str(tmp_path / "a" / "x.md"), ""), (str(deep / "y.TXT"), ""), (str(deep / "full.txt"), "mot")}
+
+
 def test_deflated_pdf():
     assert files.simple_pdf(pdf(["un", "deux"], ["trois"], deflate=True)) == ["un\ndeux", "trois"]
 
@@ -99,7 +109,10 @@ def test_cli(spark, directory, tmp_path, capsys):
     example.write_text(json.dumps([{"text_id": "t1", "text": "Visite de l'eglise"}, {"text_id": "t2", "text": "rien"}]))
     got = cli.examples(spark, str(example), str(config))
     assert [(g["text_id"], [c["category_key"] for c in g["categories"]]) for g in got] == [("t1", ["RELIGION"]), ("t2", [])]
-    assert cli.main(["resources"]) == 0
+    assert [(g["text"], [sorted(c) for c in g["categories"]]) for g in got] == [("Visite de l'eglise", [["category_key", "decision", "explanation", "label", "score"]]), ("rien", [])]
+    capsys.readouterr()
+    assert cli.main(["resources", "--config", str(config)]) == 1  # no model is installed here
+    assert [r["status"] for r in json.loads(capsys.readouterr().out)] == ["failed"]
 
 
 def test_stream(spark, directory, tmp_path):

@@ -39,12 +39,13 @@ def test_columns_agree_with_plain(spark):
     pool = [chr(c) for c in [*range(32, 0x250), *range(0x300, 0x370), *range(0x2000, 0x2200), 0xFB01, 0xFF21, 0x1D400, 0x4E2D, 0x1F600] if unicodedata.category(chr(c)) not in ("Cs", "Cn")]
     texts = [*CASES, None, *("".join(rng.choices(pool, k=rng.randrange(60))) for _ in range(400))]
     rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "id int, t string")
-    rows = rows.withColumn("n", T.normalize(F.col("t"))).withColumn("k", T.tokens(F.col("n"))).withColumn("r", T.roots(F.col("k"))).withColumn("s", T.sentences(F.col("t")))
+    rows = rows.withColumn("n", T.normalize(F.col("t"))).withColumn("k", T.tokens(F.col("n"))).withColumn("r", T.roots(F.col("k"))).withColumn("s", T.sentences(F.col("t"))).withColumn("o", T.sentence_spans(F.col("t")))
     for r in rows.collect():
         assert r.n == plain.normalize(r.t)
         assert r.k == plain.tokens(r.n)
         assert r.r == [plain.root(t) for t in r.k]
         assert r.s == plain.sentences(r.t or "")
+        assert [(r.t or "")[a:b] for a, b in r.o] == r.s
 
 
 def test_roots_of_every_ending(spark):
