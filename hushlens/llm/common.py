@@ -35,10 +35,14 @@ def small_side(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() into the shared folder of spark.checkpoint.dir; a folder of our own only where the session names none."""
+    """checkpoint() into the shared folder of spark.checkpoint.dir. Where the session names none, a local session gets a folder of
+    its own; on a cluster, whose machines share no temporary folder, it is an error. Spark deletes the files of a checkpoint no
+    longer referred to if spark.cleaner.referenceTracking.cleanCheckpoints is on."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 

@@ -88,7 +88,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 def _top(spark: SparkSession, sf: str) -> DataFrame:
     findings = table(spark, sf, "article9_findings")
     order = [F.desc_nulls_last("category_score"), F.desc_nulls_last("raw_score"), F.asc("finding_id")]
-    return topn.top_n(findings, "file_name", order, 3, salt_by="finding_id")
+    return topn.top_n(findings, "file_name", order, 3, salt_by="finding_id", heavy_rows=500, slice_rows=250)
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

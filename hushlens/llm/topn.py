@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import cut_lineage, free_name
 
 #: At most this many groups can be heavy, whatever the table's size: a heavy group has more than total / MAX_HEAVY rows.
 MAX_HEAVY = 4_096
@@ -25,14 +25,16 @@ def top_n(df: DataFrame, group: str, order: Sequence[Column], n: int, *, salt_by
     """The first n rows of every group in the given order, with their rank.
 
     heavy_rows: a group is heavy if it has more rows than this and than total / MAX_HEAVY; so the list of heavy groups has
-    a proven bound and is broadcast. slice_rows: rows of one salted slice, about.
+    a proven bound and is broadcast. slice_rows: rows of one salted slice, at least; the square root of the group's rows if that
+    is more, so that neither a slice nor what the slices leave is large. The counts are checkpointed; the rows are read once for
+    them, once for the light and once for the heavy groups.
     """
     count, salt, slices, rank = (free_name(df, c) for c in ("_count", "_salt", "_slices", "rank"))
     known = df.where(F.col(group).isNotNull())
-    counts = known.groupBy(group).agg(F.count(F.lit(1)).alias(count))
+    counts = cut_lineage(known.groupBy(group).agg(F.count(F.lit(1)).alias(count)))
     total = counts.agg(F.sum(count)).first()[0] or 0
     bound = max(heavy_rows, total // MAX_HEAVY)
-    heavy = counts.where(F.col(count) > bound).select(F.col(group), F.ceil(F.col(count) / slice_rows).alias(slices))
+    heavy = counts.where(F.col(count) > bound).select(F.col(group), F.ceil(F.col(count) / F.greatest(F.lit(float(slice_rows)), F.sqrt(count))).alias(slices))
 
     light_rows = known.join(F.broadcast(heavy.select(group)), group, "left_anti")
     light = light_rows.withColumn(rank, F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col(rank) <= n)
