@@ -1,8 +1,9 @@
 """Sentence units across languages and scripts.
 
 Boundary rules are compiled into a finite transducer over a small alphabet of events. A lexer turns a text into events: runs
-of words, terminal marks with what follows them, opening and closing quotes and brackets, and hard breaks (blank lines, ends
-of headings and list items, blanks between Thai clauses). The transducer's states tell whether a unit has begun, whether a
+of words; terminal marks, whose event a compiled table gives by the word before (abbreviation, initial, number) and by what
+follows; opening and closing quotes and brackets; and hard breaks (blank lines, ends of headings and list items, blanks between
+Thai clauses). The transducer's states tell whether a unit has begun, whether a
 quote or bracket is open and whether it began the unit, and whether a terminal mark was just seen inside it; its output is 1
 where a unit ends.
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .canon import ALIKE, TABLE
@@ -151,30 +152,74 @@ def _after(text: str, at: int, end: int, go: int, fin: int, caseless: int) -> in
     return caseless if c.isalpha() and not c.isupper() else fin
 
 
-def _stop(text: str, start: int, at: int, end: int) -> bool:
-    """Whether the single full stop at text[at] belongs to an abbreviation, number or initial."""
+# What stands before a full stop: nothing of note, an abbreviation that never ends a unit, a company's form, a word shortened
+# before numbers, a single capital (or letter without case), one after a digit, a single small letter, a small number, an ordinal.
+PLAIN, ABBREVIATED, COMPANIES, NUMBERED, CAPITAL, UNIT, SMALL, NUMBER, NTH = range(9)
+# What follows a terminal mark: the end, a closer, something attached, what goes on a sentence, a digit, a capital, a further
+# company's form, a month's name, anything else.
+END, CLOSER, ATTACHED, GOES_ON, DIGIT, UPPER, FIRM, MONTH, ELSE = range(9)
+
+
+def compile_marks() -> list[list[int]]:
+    """The event of a single full stop, by what stands before it and what follows; other marks take the row of PLAIN."""
+    rules = [[E, C, W, M, E, E, E, E, E] for _ in range(9)]
+    for before in (ABBREVIATED, SMALL, NTH):
+        rules[before] = [E, W, W, M, W, W, W, W, W]
+    rules[COMPANIES][FIRM] = W
+    rules[NUMBERED][DIGIT] = W
+    for follows in (UPPER, FIRM, MONTH):
+        rules[CAPITAL][follows] = W
+    rules[NUMBER][MONTH] = W
+    return rules
+
+
+MARKS = compile_marks()
+_FIRMS = ("Ltd", "Inc", "Corp", "Co.")
+_CLASSES = {**dict.fromkeys(COMPANY, COMPANIES), **dict.fromkeys(BEFORE_DIGIT, NUMBERED), **dict.fromkeys(NEVER, ABBREVIATED)}
+
+
+def _before(text: str, start: int, at: int) -> int:
+    """The class of the word before the full stop at text[at]."""
     near = text[max(start, at - 28) : at]
     if not near.isascii():  # invisible characters, wide forms and look-alikes hide no abbreviation
         near = near.translate(_PLAIN)
     before = _WORD_BEFORE.search(near)
     if not before:
-        return False
+        return PLAIN
     word = before.group()
-    k, c = _next(text, at + 1, end)
     low = word.lower().strip("-'’")
     for cut in ("’", "'", "-"):
         if cut in low and low not in NEVER:
             low = low.rpartition(cut)[2]
-    if low in NEVER or low in COMPANY and text.startswith(("Ltd", "Inc", "Corp", "Co."), k):
-        return True
-    if c.isdigit() and low in BEFORE_DIGIT:
-        return True
+    found = _CLASSES.get(low)
+    if found is not None:
+        return found
     if len(low) == 1 and low.isalpha():
-        return (c.isupper() and not _DIGIT_BEFORE.search(near)) or word.islower()
+        return SMALL if word.islower() else UNIT if _DIGIT_BEFORE.search(near) else CAPITAL
     if word.isdigit() and len(word) <= 2:
         two = _TWO_BEFORE.search(near)
-        return bool(two and two.group(1).lower() in ORDINAL_BEFORE) or text.startswith(MONTHS_DE, k)
-    return False
+        return NTH if two and two.group(1).lower() in ORDINAL_BEFORE else NUMBER
+    return PLAIN
+
+
+def _follows(text: str, b: int, end: int, full: bool, straight: bool, start: int) -> int:
+    """The class of what follows a mark that ends at b."""
+    k, n = _next(text, b, end)
+    if not n:
+        return END
+    if n in _CLOSERS or k == b and (n == '"' and straight or n == "“" and _low_quote(text, start, k)):
+        return CLOSER
+    if not full and k == b:
+        return ATTACHED
+    if n.islower() or n in ",;:،؛、，；：":
+        return GOES_ON
+    if n.isdigit():
+        return DIGIT
+    if text.startswith(_FIRMS, k):
+        return FIRM
+    if text.startswith(MONTHS_DE, k):
+        return MONTH
+    return UPPER if n.isupper() else ELSE
 
 
 def _lex(text: str, start: int, end: int, thai: bool, events: list[int], at: list[int]) -> None:
@@ -194,20 +239,9 @@ def _lex(text: str, start: int, end: int, thai: bool, events: list[int], at: lis
             token = b
             continue
         if c in ".!?…。！？｡।॥؟۔":
-            k, n = _next(text, b, end)
-            full = text[b - 1] in _FULL
-            if not n:
-                e = E
-            elif n in _CLOSERS or k == b and (n == '"' and straight or n == "“" and _low_quote(text, start, k)):
-                e = C
-            elif not full and k == b:
-                e = W
-            elif n.islower() or n in ",;:،،؛、，；：":
-                e = M
-            else:
-                e = E
-            if e in (E, C) and b - a == 1 and c == "." and n and _stop(text, start, a, end):
-                e = W
+            follows = _follows(text, b, end, text[b - 1] in _FULL, straight, start)
+            single = b - a == 1 and c == "." and follows not in (ATTACHED, GOES_ON, END)
+            e = MARKS[_before(text, start, a) if single else PLAIN][follows]
         elif c == '"':
             if straight:
                 straight, e = False, _after(text, b, end, K, FIN, G)
@@ -308,13 +342,49 @@ def units(text: str) -> list[tuple[int, int]]:
     return out
 
 
+#: Texts longer than this are cut at blank lines and lexed by several tasks.
+LONG = 200_000
+
+
+def blocks(text: str, size: int = LONG) -> list[tuple[int, int]]:
+    """A text as spans of about `size` characters that end at blank lines, where every unit ends and the transducer begins anew."""
+    out, start = [], 0
+    while len(text) - start > size:
+        m = _PARA.search(text, start + size)
+        if not m:
+            break
+        out.append((start, m.end()))
+        start = m.end()
+    return [*out, (start, len(text))]
+
+
 def sentence_units(df: DataFrame, *, text: str = "text", key: str = "chunk_key") -> DataFrame:
-    """The units of every row: key, unit_index, start_char, end_char, unit_text."""
-    key_type = df.schema[key].dataType.simpleString()
+    """The units of every row: key, unit_index, start_char, end_char, unit_text.
+
+    A long text is spread over tasks in blocks of whole paragraphs; the units of its blocks are numbered by running totals of
+    the blocks. A paragraph is lexed by one task, whose transducer runs in blocks of events by prefix scan.
+    """
+    key_type, size = df.schema[key].dataType.simpleString(), LONG
+    ddl = "unit_index int, start_char int, end_char int, unit_text string"
 
     def cut(keys: list, texts: list) -> list:
         return transposed([(k, n, s, e, t[s:e]) for k, t in zip(keys, texts) for n, (s, e) in enumerate(units(t))], 5)
 
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
-    found = map_columns(spread(rows, F.xxhash64("_key", "_text")), lambda: cut, f"_key {key_type}, unit_index int, start_char int, end_char int, unit_text string")
-    return found.withColumnRenamed("_key", key)
+    short = map_columns(spread(rows.where(F.length("_text") <= size), F.xxhash64("_key", "_text")), lambda: cut, f"_key {key_type}, {ddl}")
+
+    def part(keys: list, copies: list, texts: list) -> list:
+        return transposed([(k, c, n, a, t[a:b]) for k, c, t in zip(keys, copies, texts) for n, (a, b) in enumerate(blocks(t, size))], 5)
+
+    def cut_part(keys: list, copies: list, numbers: list, offsets: list, texts: list) -> list:
+        return transposed([(k, c, p, n, a + s, a + e, t[s:e]) for k, c, p, a, t in zip(keys, copies, numbers, offsets, texts) for n, (s, e) in enumerate(units(t))], 7)
+
+    # Rows are told apart by hash and, if they are repeated, by number.
+    known = F.xxhash64("_key", "_text")
+    whole = rows.where(F.length("_text") > size).withColumn("_id", F.concat_ws("-", known, F.row_number().over(Window.partitionBy(known).orderBy(F.lit(0))))).select("_key", "_id", "_text")
+    parts = map_columns(whole, lambda: part, f"_key {key_type}, _id string, _part int, _at int, _text string")
+    found = map_columns(spread(parts, F.xxhash64("_id", "_part")), lambda: cut_part, f"_key {key_type}, _id string, _part int, {ddl}")
+    totals = found.groupBy("_id", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = totals.select("_id", "_part", (F.sum("_n").over(Window.partitionBy("_id").orderBy("_part")) - F.col("_n")).cast("int").alias("_before"))
+    long = found.join(before, ["_id", "_part"]).select("_key", (F.col("unit_index") + F.col("_before")).alias("unit_index"), "start_char", "end_char", "unit_text")
+    return short.unionByName(long).withColumnRenamed("_key", key)

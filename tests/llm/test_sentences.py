@@ -65,3 +65,20 @@ def test_table(spark):
     got = [(r.chunk_key, r.unit_index, r.start_char, r.end_char) for r in S.sentence_units(df).collect()]
     assert sorted(got, key=str) == sorted([(1, 0, 0, 3), (1, 1, 4, 9)] * 2 + [(None, 0, 0, 5), (2**60 + 1, 0, 0, 1)], key=str)
     assert S.sentence_units(df.limit(0)).count() == 0
+
+
+def test_long_texts_in_blocks(spark, monkeypatch):
+    text = "Un mot. « Deux. » Trois (quatre).\n\n- point un\n- point deux\n\n# Titre\n\n" * 40 + "Sans fin"
+    rows = [(1, text), (1, text), (2, "court. très."), (None, text + "!"), (3, "x" * 900), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "chunk_key long, text string").selectExpr("*", "1 as _part")
+    show = lambda d: sorted(map(str, d.collect()))
+    whole = show(S.sentence_units(df))
+    monkeypatch.setattr(S, "LONG", 300)
+    assert show(S.sentence_units(df)) == whole
+    assert len(S.blocks(text, 300)) > 5 and S.blocks(text, 300)[-1][1] == len(text)
+    assert S.sentence_units(df.limit(0)).count() == 0
+
+
+def test_compiled_marks():
+    assert S.MARKS[S.ABBREVIATED][S.UPPER] == S.W and S.MARKS[S.PLAIN][S.UPPER] == S.E and S.MARKS[S.NUMBERED][S.DIGIT] == S.W
+    assert all(row[S.GOES_ON] == S.M and row[S.END] == S.E for row in S.MARKS)
