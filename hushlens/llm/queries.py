@@ -85,6 +85,15 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.sentence_units(chunks).select("chunk_key", "start_char", "end_char")
 
 
+#: Blanks of any kind, in a form that Java and SQL both read.
+BLANK = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}]+"
+
+
+def p3_covered(spark: SparkSession, sf: str) -> DataFrame:
+    """How many characters that are no blanks lie in the units of every chunk."""
+    return p3_units(spark, sf).groupBy("chunk_key").agg(F.sum(F.length(F.regexp_replace("unit_text", BLANK, ""))).alias("chars"))
+
+
 def _top(spark: SparkSession, sf: str) -> DataFrame:
     findings = table(spark, sf, "article9_findings")
     order = [F.desc_nulls_last("category_score"), F.desc_nulls_last("raw_score"), F.asc("finding_id")]
@@ -201,8 +210,16 @@ def p9_clean(spark: SparkSession, sf: str) -> DataFrame:
     return residue.without_residue(documents, residue.residue(documents)).select("doc_id", "n_chars")
 
 
+def p9_split(spark: SparkSession, sf: str) -> DataFrame:
+    """How often every document is in the residue or in the corpus without it."""
+    documents = texts(spark, sf, "documents")
+    found = residue.residue(documents)
+    both = found.select("doc_id").unionAll(residue.without_residue(documents, found).select("doc_id"))
+    return both.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p1_rebuilt, p1_limits, p2_found, p2_items, p2_masked, p2_dated, p3_found, p3_units, p4_found, p4_ranked, p5_found, p5_restored, p6_found, p6_classes, p6_canonical, p6_united, p7_found, p7_containers, p7_report, p7_rebuilt, p7_kept, p8_found, p8_mix, p8_report, p8_kept, p9_found, p9_clean)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_rebuilt, p1_limits, p2_found, p2_items, p2_masked, p2_dated, p3_found, p3_units, p3_covered, p4_found, p4_ranked, p5_found, p5_restored, p6_found, p6_classes, p6_canonical, p6_united, p7_found, p7_containers, p7_report, p7_rebuilt, p7_kept, p8_found, p8_mix, p8_report, p8_kept, p9_found, p9_clean, p9_split)}
 
 
 _RANKED = """
@@ -235,6 +252,8 @@ def oracle_sql() -> dict[str, str]:
         "p1_rebuilt": "select chunk_key, md5(text) as md5 from chunks",
         "p1_limits": "select lower(trim(c.file_type)) as file_type, count(*) as chunks, count(*) filter (length(text) > max_chars) as cut, true as kept from chunks c join size_limits s on lower(trim(c.file_type)) = lower(trim(s.file_type)) group by 1",
         "p4_found": f"select file_name, finding_id from ({_RANKED})",
+        "p3_covered": f"select chunk_key, length(regexp_replace(text, '{BLANK}', '', 'g')) as chars from chunks where regexp_replace(text, '{BLANK}', '', 'g') <> ''",
+        "p9_split": "select doc_id, 1 as times from documents",
         "p7_rebuilt": "select doc_id, coalesce(length(text), 0) as chars from documents",
         "p7_kept": "select 0 as overfull, 0 as twice, 0 as torn, count(*) as documents from documents",
         "p8_kept": "select source, true as kept from mix_targets",

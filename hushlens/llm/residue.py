@@ -136,7 +136,7 @@ _ANY = re.compile("|".join((*CERTAIN, *POSSIBLE)))
 _HINT = re.compile(r"[{\[]|<[<%a-zA-Z]|\$\{|#[A-Z]|%[A-Z]|__?[A-Z]|@@|«[A-Za-z]|&[^\W\d_]|:[A-Za-z]|XXXX")
 #: Signs of code and mathematics, looked for once the placeholders are taken out.
 _CODE = re.compile(r"[\\`=^|$]|\w\(|\)\s*;|</|/>|://|::|->|;\s*$|[{}\[\]]")
-_HEADING = re.compile(r"[\s>#*=-]*(?:[^.!?:;,\n]{1,40}?\s[-–|]\s+)?")
+_HEADING = re.compile(r"[\s>#*=-]*(?:[^.!?:;,{\[<@\n]{1,40}?\s[-–|]\s+)?")
 _LEADING = re.compile(r"[\s>#*=-]*")
 _NOTICE = re.compile("|".join(NOTICES), re.I)
 _SAMPLE = re.compile(rf"\W*(?:{'|'.join(SAMPLES)})(?:\s*(?:[.!:]|$)|(?=\s(?-i:[A-ZÉ])))", re.I)
@@ -149,29 +149,44 @@ _WORDS = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
 _BREAK = re.compile("[\r\n\v\f\x85\u2028\u2029]+")
 
 
-def _marked(line: str, mark: str) -> str:
-    """The line with its placeholders, certain or possible, replaced."""
-    out, done = [], 0
+def _marked(line: str, mark: str) -> tuple[str, list[int]]:
+    """The line with its placeholders, certain or possible, replaced, and where they began."""
+    out, done, at = [], 0, []
     for h in _HINT.finditer(line):
         if h.start() >= done:
             m = _ANY.match(line, h.start())
             if m:
                 out += [line[done : m.start()], mark]
                 done = m.end()
-    return "".join([*out, line[done:]]) if out else line
+                at.append(m.start())
+    return ("".join([*out, line[done:]]) if out else line), at
+
+
+def _form(body: str) -> str:
+    return " ".join(_WORDS.findall(_NUMBER.sub("0", body.lower())))
 
 
 def comparison_form(line: str) -> str:
     """The form that lines are compared in."""
-    body = _marked(line[_HEADING.match(line).end() :], f" {MARK} ")
-    return " ".join(_WORDS.findall(_NUMBER.sub("0", body.lower())))
+    return judged(line)[0]
 
 
 def trusted(line: str) -> bool:
     """Whether a line is residue beyond doubt."""
-    if any(_CERTAIN.match(line, h.start()) for h in _HINT.finditer(line)) and not _CODE.search(_marked(line, " ")):
-        return True
-    if _NOTICE.match(line, _HEADING.match(line).end()) or _NOTICE.match(line, _LEADING.match(line).end()):
+    return judged(line)[1]
+
+
+def judged(line: str) -> tuple[str, bool]:
+    """The comparison form of a line, and whether it is trusted."""
+    head = _HEADING.match(line).end()
+    body, at = _marked(line[head:], f" {MARK} ")
+    sure = bool(at) and any(_CERTAIN.match(line, head + a) for a in at) and not _CODE.search(line[:head] + body)
+    return _form(body), sure or _residual(line, head)
+
+
+def _residual(line: str, head: int) -> bool:
+    """Whether a line is a notice, an error message or sample text."""
+    if _NOTICE.match(line, head) or _NOTICE.match(line, _LEADING.match(line).end()):
         return True
     if any(_SAMPLE.match(line, at) or _THRICE.match(line, at) for at in (0, *(m.end() for m in _START.finditer(line)))):
         return True
@@ -268,15 +283,17 @@ def lines_of(df: DataFrame, *, key: str, text: str) -> DataFrame:
     key_type = df.schema[key].dataType.simpleString()
 
     def cut() -> Callable[[list, list], list]:
+        seen = lru_cache(maxsize=20_000)(judged)  # short lines repeat
+
         def work(keys: list, texts: list) -> list:
             owners, forms, seeds, filler = [], [], [], []
             for k, t in zip(keys, texts):
                 for line in _BREAK.split(t):
                     if line and not line.isspace():
-                        form = comparison_form(line)
+                        form, sure = seen(line) if len(line) < 200 else judged(line)
                         owners.append(k)
                         forms.append(form)
-                        seeds.append(trusted(line))
+                        seeds.append(sure)
                         filler.append(known_filler(form.split(" ")))
             ids = np.frombuffer(b"".join([xxhash.xxh3_128_digest(f) for f in forms]), np.int64).reshape(-1, 2)
             return [owners, ids[:, 0], ids[:, 1], forms, seeds, filler, *simhashes(forms)]
