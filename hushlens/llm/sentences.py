@@ -361,8 +361,8 @@ def blocks(text: str, size: int = LONG) -> list[tuple[int, int]]:
 def sentence_units(df: DataFrame, *, text: str = "text", key: str = "chunk_key") -> DataFrame:
     """The units of every row: key, unit_index, start_char, end_char, unit_text.
 
-    A long text is spread over tasks in blocks of whole paragraphs; the units of its blocks are numbered by running totals of
-    the blocks. A paragraph is lexed by one task, whose transducer runs in blocks of events by prefix scan.
+    A long text is spread over tasks in blocks of whole paragraphs, and its units are numbered in their order afterwards. A
+    paragraph is lexed by one task, whose transducer runs in blocks of events by prefix scan.
     """
     key_type, size = df.schema[key].dataType.simpleString(), LONG
     ddl = "unit_index int, start_char int, end_char int, unit_text string"
@@ -374,17 +374,16 @@ def sentence_units(df: DataFrame, *, text: str = "text", key: str = "chunk_key")
     short = map_columns(spread(rows.where(F.length("_text") <= size), F.xxhash64("_key", "_text")), lambda: cut, f"_key {key_type}, {ddl}")
 
     def part(keys: list, copies: list, texts: list) -> list:
-        return transposed([(k, c, n, a, t[a:b]) for k, c, t in zip(keys, copies, texts) for n, (a, b) in enumerate(blocks(t, size))], 5)
+        return transposed([(k, c, a, t[a:b]) for k, c, t in zip(keys, copies, texts) for a, b in blocks(t, size)], 4)
 
-    def cut_part(keys: list, copies: list, numbers: list, offsets: list, texts: list) -> list:
-        return transposed([(k, c, p, n, a + s, a + e, t[s:e]) for k, c, p, a, t in zip(keys, copies, numbers, offsets, texts) for n, (s, e) in enumerate(units(t))], 7)
+    def cut_part(keys: list, copies: list, offsets: list, texts: list) -> list:
+        return transposed([(k, c, a + s, a + e, t[s:e]) for k, c, a, t in zip(keys, copies, offsets, texts) for s, e in units(t)], 5)
 
     # Rows are told apart by hash and, if they are repeated, by number.
     known = F.xxhash64("_key", "_text")
     whole = rows.where(F.length("_text") > size).withColumn("_id", F.concat_ws("-", known, F.row_number().over(Window.partitionBy(known).orderBy(F.lit(0))))).select("_key", "_id", "_text")
-    parts = map_columns(whole, lambda: part, f"_key {key_type}, _id string, _part int, _at int, _text string")
-    found = map_columns(spread(parts, F.xxhash64("_id", "_part")), lambda: cut_part, f"_key {key_type}, _id string, _part int, {ddl}")
-    totals = found.groupBy("_id", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = totals.select("_id", "_part", (F.sum("_n").over(Window.partitionBy("_id").orderBy("_part")) - F.col("_n")).cast("int").alias("_before"))
-    long = found.join(before, ["_id", "_part"]).select("_key", (F.col("unit_index") + F.col("_before")).alias("unit_index"), "start_char", "end_char", "unit_text")
+    parts = map_columns(whole, lambda: part, f"_key {key_type}, _id string, _at int, _text string")
+    found = map_columns(spread(parts, F.xxhash64("_id", "_at")), lambda: cut_part, f"_key {key_type}, _id string, start_char int, end_char int, unit_text string")
+    index = (F.row_number().over(Window.partitionBy("_id").orderBy("start_char")) - 1).alias("unit_index")
+    long = found.select("_key", index, "start_char", "end_char", "unit_text")
     return short.unionByName(long).withColumnRenamed("_key", key)
