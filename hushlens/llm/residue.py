@@ -226,6 +226,23 @@ def _mixed(v: np.ndarray) -> np.ndarray:
     return v ^ (v >> np.uint64(31))
 
 
+#: The bits of a byte, highest first, as eight counters of one byte each.
+_COUNTERS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).reshape(-1)
+
+
+def _votes(hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many of the hashes of each group have each bit set: eight counters are added at once, in runs of at most 255 hashes."""
+    counters = _COUNTERS[hashes]
+    start = np.cumsum(size) - size
+    runs = -(-size // 255)
+    group = np.repeat(np.arange(len(size)), runs)
+    cut = start[group] + 255 * (np.arange(len(group)) - np.repeat(np.cumsum(runs) - runs, runs))
+    part = np.add.reduceat(counters, cut, axis=0).view(np.uint8).reshape(len(cut), -1)
+    if len(cut) == len(size):
+        return part.astype(np.int32)
+    return np.add.reduceat(part.astype(np.int32), np.cumsum(runs) - runs, axis=0)
+
+
 def simhashes(forms: list[str], block: int = 40_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Both halves of the 128-bit SimHash, and the number of different shingles, of each form."""
     highs, lows, sizes = [], [], []
@@ -258,9 +275,8 @@ def simhashes(forms: list[str], block: int = 40_000) -> tuple[np.ndarray, np.nda
             fresh = np.ones(len(owner), bool)
             fresh[order[twice]] = False
             owner, value = owner[fresh], value[fresh]
-        bits = np.unpackbits(np.ascontiguousarray(value.astype(">u8")).view(np.uint8).reshape(-1, 16), axis=1)
         size = np.bincount(owner, minlength=len(n))
-        votes = np.add.reduceat(bits, np.cumsum(size) - size, axis=0, dtype=np.int32)
+        votes = _votes(np.ascontiguousarray(value.astype(">u8")).view(np.uint8).reshape(-1, 16), size)
         # A draw is settled by a fixed pattern, which no shingle sways.
         packed = np.packbits(votes * 2 + _DRAW > size[:, None], axis=1).view(">i8")
         highs.append(packed[:, 0].astype(np.int64))
@@ -327,19 +343,25 @@ def tables_for(width: int, recall: float = RECALL) -> int:
 
 
 def width_for(forms: int) -> int:
-    """Bits of a table: buckets of about 64 forms, between 8 and 16 bits."""
-    return min(16, max(8, ceil(log2(max(forms, 2))) - 6))
+    """Bits of a table: between 8 and 16, so that up to 2^25 forms buckets hold about 64 forms; classes of size tell some eight
+    kinds of forms apart besides."""
+    return min(16, max(8, ceil(log2(max(forms, 2))) - 9))
+
+
+def _size_class(n: Column) -> Column:
+    """Classes of shingle numbers by factors of 1.25: forms as similar as SIMILAR are in the same or in neighbouring classes."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(1 / SIMILAR)) + 1e-9)
 
 
 def _entries(width: int) -> Column:
-    """(table, bits) of a SimHash, each table over its own bits by a fixed permutation."""
+    """(table, key) of a SimHash and size class, each table over its own bits by a fixed permutation."""
     rng = np.random.default_rng(BITS)
     entries = []
     for t in range(tables_for(width)):
         masks = [0, 0]
         for bit in rng.permutation(BITS)[:width]:
             masks[bit // 64] |= 1 << int(bit % 64)
-        value = F.xxhash64(F.col("_s1").bitwiseAND(F.lit(_signed(masks[0]))), F.col("_s2").bitwiseAND(F.lit(_signed(masks[1]))))
+        value = F.xxhash64(F.col("_s1").bitwiseAND(F.lit(_signed(masks[0]))), F.col("_s2").bitwiseAND(F.lit(_signed(masks[1]))), F.col("_class"))
         entries.append(F.struct(F.lit(t).alias("t"), value.alias("v")))
     return F.explode(F.array(*entries))
 
@@ -351,19 +373,20 @@ def spread_labels(forms: DataFrame, texts: DataFrame) -> DataFrame:
     """
     ids = ["_h1", "_h2"]
     width = width_for(forms.count())
-    entry = lambda df: df.select(*ids, "_s1", "_s2", "_n", _entries(width).alias("_e")).select(*ids, "_s1", "_s2", "_n", "_e.t", "_e.v")
+    entry = lambda df, c: df.withColumn("_class", c).select(*ids, "_s1", "_s2", "_n", _entries(width).alias("_e")).select(*ids, "_s1", "_s2", "_n", "_e.t", "_e.v")
+    own = _size_class(F.col("_n"))
     labelled = forms.where("_seed").select(*ids)
     frontier = forms.where("_seed")
     # A form of up to 4 shingles is only that similar to one of the same shingles, which has the same SimHash.
     while True:
-        near = entry(frontier).withColumn("_wave", F.floor(F.log2(F.ceil(F.row_number().over(Window.partitionBy("t", "v").orderBy(*ids)) / WAVE))))
+        near = entry(frontier, F.explode(F.array(own - 1, own, own + 1))).withColumn("_wave", F.floor(F.log2(F.ceil(F.row_number().over(Window.partitionBy("t", "v").orderBy(*ids)) / WAVE))))
         near = cut_lineage(near.toDF("_g1", "_g2", "_gs1", "_gs2", "_gn", "t", "v", "_wave"))
         waves = near.agg(F.max("_wave")).first()[0]
         if waves is None:
             return labelled
         found = labelled
         for wave in range(int(waves) + 1):
-            rest = entry(forms.join(small_side(found), ids, "left_anti"))
+            rest = entry(forms.join(small_side(found), ids, "left_anti"), own)
             met = rest.join(small_side(near.where(F.col("_wave") == wave).drop("_wave"), 100_000), ["t", "v"])
             differ = F.bit_count(F.col("_gs1").bitwiseXOR(F.col("_s1"))) + F.bit_count(F.col("_gs2").bitwiseXOR(F.col("_s2")))
             met = met.where((differ <= HAMMING) & (F.col("_n") >= SIMILAR * F.col("_gn")) & (F.col("_gn") >= SIMILAR * F.col("_n")))
