@@ -8,7 +8,8 @@ is found, so the tightest compatible bin is taken. A bin conflicts with an item
 cluster, or would mix more than `max_sources` sources. A cluster with more copies than its group has containers is dealt
 round into subclusters of that many copies; only copies of one subcluster conflict, so a hot cluster costs no extra room.
 
-Duplicate cluster: equal text after lower-casing and joining white space. Defined results: null, empty and blank texts have
+Duplicate cluster: what a column of the caller's says, such as the classes of a near-duplicate search; without one, equal text
+after lower-casing and joining white space. Defined results: a null cluster is no duplicate of anything; null, empty and blank texts have
 their tokens (0 for null) and are packed too; a null source is a source of its own; repeated rows are one cluster; equal
 sizes are taken by hash of the id, then id; an empty table gives no rows.
 """
@@ -90,10 +91,14 @@ def pack_group(sizes: list[int], sources: list, clusters: list[int], capacity: i
     return out
 
 
-def measured(df: DataFrame, *, key: str, text: str, source: str, capacity: int, folder: str, vocabulary: str) -> DataFrame:
+def measured(df: DataFrame, *, key: str, text: str, source: str, capacity: int, folder: str, vocabulary: str, cluster: str | None = None) -> DataFrame:
     """Items: _key, _source, _cluster, piece, n_pieces, start_char, end_char, tokens."""
     rows = df.select(F.col(key).alias("_key"), F.col(source).cast("string").alias("_source"), F.col(text).alias("_text"))
-    rows = rows.withColumn("_cluster", F.xxhash64(F.lower(F.trim(F.regexp_replace("_text", r"\s+", " "))), F.col("_text").isNull()))
+    same = F.xxhash64(F.lower(F.trim(F.regexp_replace("_text", r"\s+", " "))), F.col("_text").isNull())
+    if cluster is not None:
+        rows = df.select(F.col(key).alias("_key"), F.col(source).cast("string").alias("_source"), F.col(text).alias("_text"), F.col(cluster).alias("_named"))
+        same = F.when(F.col("_named").isNotNull(), F.xxhash64("_named")).otherwise(F.xxhash64("_key", "_text", F.lit(1)))
+    rows = rows.withColumn("_cluster", same).select("_key", "_source", "_text", "_cluster")
     key_type = df.schema[key].dataType.simpleString()
 
     def measure(keys: list, sources: list, texts: list, clusters: list) -> list:
@@ -107,13 +112,13 @@ def measured(df: DataFrame, *, key: str, text: str, source: str, capacity: int,
     return map_columns(spread(rows, F.xxhash64("_key", "_text")), lambda: measure, schema)
 
 
-def pack(df: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", capacity: int = CAPACITY, max_sources: int = 4, group_rows: int = 20_000, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+def pack(df: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", capacity: int = CAPACITY, max_sources: int = 4, group_rows: int = 20_000, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, cluster: str | None = None) -> DataFrame:
     """Container and place of every text or piece: key, piece, n_pieces, start_char, end_char, tokens, container, place, offset.
 
     The sizes are checkpointed, so that counting them for the number of groups does not tokenize twice. A group's task holds
     about group_rows rows of numbers, no texts.
     """
-    items = cut_lineage(measured(df, key=key, text=text, source=source, capacity=capacity, folder=folder, vocabulary=vocabulary))
+    items = cut_lineage(measured(df, key=key, text=text, source=source, capacity=capacity, folder=folder, vocabulary=vocabulary, cluster=cluster))
     groups = max(1, -(-items.count() // group_rows))
     key_type = df.schema[key].dataType.simpleString()
 

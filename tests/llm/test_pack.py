@@ -83,3 +83,10 @@ def test_table(spark):
     assert pack.pack(df.limit(0)).count() == 0
     report = pack.fill_report(pack.pack(df)).first()
     assert report["items"] == 9 and report.fullest <= 4096
+
+
+def test_clusters_of_the_callers(spark):
+    rows = [(n, f"texte numero {n} " * 20, "a", c) for n, c in enumerate(["x", "x", "x", None, None, "y"])] + [(9, "long " * 9000, "a", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, class string")
+    at = {r.doc_id: r.container for r in pack.pack(df, cluster="class").where("n_pieces = 1").collect()}
+    assert len({at[0], at[1], at[2]}) == 3 and len(at) == 6
