@@ -66,6 +66,22 @@ def test_deflated_pdf():
     assert files.simple_pdf(pdf(["un", "deux"], ["trois"], deflate=True)) == ["un\ndeux", "trois"]
 
 
+def test_pdf_with_font_map_and_object_stream():
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfchar <0001> <00C9> endbfchar 2 beginbfrange <0002> <0003> <0061> <0010> <0011> [<0066006C> <20AC>] endbfrange"
+    body = b"BT /F1 12 Tf 50 700 Td [<00010002> -400 <0003>] TJ 0 -20 Td <00100011> Tj /F2 12 Tf 0 -20 Td [(Nom) -50 (bre) -300 (deux)] TJ ET"
+    inner = [(1, b"<< /Type /Catalog /Pages 2 0 R >>"), (2, b"<< /Type /Pages /Kids [3 0 R] /Count 1 /Resources << /Font << /F1 6 0 R /F2 7 0 R >> >> >>"), (3, b"<< /Type /Page /Parent 2 0 R /Contents [4 0 R] >>"), (6, b"<< /Type /Font /ToUnicode 8 0 R >>"), (7, b"<< /Type /Font >>")]
+    heads, at = b"", 0
+    for number, text in inner:
+        heads += b"%d %d " % (number, at)
+        at += len(text) + 1
+    packed = zlib.compress(heads + b" ".join(t for _, t in inner))
+    hexed = zlib.compress(body).hex().encode() + b">"
+    data = b"%PDF-1.5\n"
+    for number, head, content in ((9, b"/Type /ObjStm /N 5 /First %d /Filter /FlateDecode" % len(heads), packed), (4, b"/Filter [/ASCIIHexDecode /FlateDecode]", hexed), (8, b"", cmap)):
+        data += b"%d 0 obj\n<< %s /Length %d >>\nstream\n%s\nendstream\nendobj\n" % (number, head, len(content), content)
+    assert files.simple_pdf(data) == ["Éa b\nfl€\nNombre deux"]
+
+
 def test_unknown_suffix():
     with pytest.raises(ValueError):
         files.extract(".docx", b"")
