@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SUFFIXES = (".pdf", ".txt", ".md", ".json", ".csv")
+#: The suffixes in any case, as a Hadoop glob.
+PATTERN = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in s[1:]) for s in SUFFIXES) + "}"
 CHUNKS = "file_path string, file_name string, file_type string, chunk_id string, page_number int, chunk_ord int, text string, status string, error_message string"
 
 _STRING = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|-?\d+(?:\.\d+)?|-?\.\d+")
@@ -263,8 +265,7 @@ def empty_files(spark: SparkSession, directory: str) -> DataFrame:
 
 def read_directory(spark: SparkSession, directory: str, fail_fast: bool = True) -> DataFrame:
     """Chunks of all supported files below a directory, in no particular order."""
-    pattern = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in s[1:]) for s in SUFFIXES) + "}"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(directory)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", PATTERN).load(directory)
     return parse(files.select("path", "content").unionByName(empty_files(spark, directory)), fail_fast)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from hushlens.config import Config
 from hushlens.plans.pipeline import Analysis, sentences
-from hushlens.sources.files import SUFFIXES, parse
+from hushlens.sources.files import PATTERN, parse
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -19,8 +19,7 @@ FILES = "path string, modificationTime timestamp, length bigint, content binary"
 def stream_chunks(spark: SparkSession, directory: str, max_files: int = 1_000) -> DataFrame:
     """Chunks of arriving files; a file that can't be read becomes a row with status error instead of ending the stream.
     Spark's reader passes over files of no bytes."""
-    pattern = "*.{" + ",".join(s[1:] for s in SUFFIXES) + "}"
-    files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", max_files).load(directory)
+    files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").option("pathGlobFilter", PATTERN).option("maxFilesPerTrigger", max_files).load(directory)
     return parse(files, fail_fast=False)
 
 
