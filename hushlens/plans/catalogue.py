@@ -212,9 +212,9 @@ def sentence_offsets(spark: SparkSession, sf: str) -> DataFrame:
 
 def letter_counts(text: F.Column) -> F.Column:
     """A unit vector of how often each letter occurs: a stand-in for a sentence model, which SQL can state too."""
-    counts = [F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in LETTERS]
-    norm = F.sqrt(sum((n * n for n in counts[1:]), counts[0] * counts[0]).cast("double"))
-    return F.array(*(F.when(norm > 0, n / norm).otherwise(0.0) for n in counts))
+    counts = F.transform(F.array(*map(F.lit, LETTERS)), lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit("")))).cast("double"))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, n: s + n * n))
+    return F.transform(F.array(counts), lambda v: F.transform(v, lambda n: F.coalesce(F.try_divide(n, norm(v)), F.lit(0.0))))[0]
 
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -298,7 +298,8 @@ def oracle_sql() -> dict[str, str]:
     hit = "list_transform(list_filter(c.{l}, lambda x: contains(s.norm, x.norm)), lambda x: x.raw)"
     counted = "select {c}, count(*) as n from article9_findings group by 1"
     log = "linguistics_backend:regex | fuzzy:disabled_or_unavailable | semantic:network_disabled | semantic:disabled_config"
-    letters = "list_transform(string_split('" + LETTERS + "', ''), lambda k: case when regexp_matches({x}, '[a-z]') then (length({x}) - length(replace({x}, k, ''))) / sqrt(list_sum(list_transform(string_split('" + LETTERS + "', ''), lambda m: pow(length({x}) - length(replace({x}, m, '')), 2)))) else 0e0 end)"
+    letters = "list_transform(string_split('" + LETTERS + "', ''), lambda k: length({x}) - length(replace({x}, k, '')))"
+    unit_of = "list_transform({c}, lambda q: case when list_sum({c}) > 0 then q / sqrt(list_sum(list_transform({c}, lambda m: m * m))) else 0e0 end)"
     unit = "list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double))))"
     finding_rows = f"select chunk_key, f.file_name, f.file_path, f.file_type, f.chunk_id, f.page_number, null::int as line_number, f.category_key as entity_name, f.category_label, method, trigger as matched_text, matched_variant, e1.score as raw_score, e1.score as adjusted_score, category_score, decision, array_to_string(context_hits, '|') as context_hits, array_to_string(field_hits, '|') as field_hits, sentence as excerpt, explanation from e1 join ({flagged.format(key='chunk_key')}) f using (chunk_key, cat_ord)"
     audit_rows = f"select concat_ws(':', file_name, chunk_id) as text_id, file_path, chunk_id, coalesce(string_agg(category_key || ':' || decision, ' | ' order by cat_ord) filter (decision <> 'clear'), '') as active_categories, '{log}' as decision_log from r group by chunk_key, file_name, file_path, chunk_id"
@@ -322,7 +323,7 @@ def oracle_sql() -> dict[str, str]:
         "full_findings": sql.pipeline(finding_rows, with_fuzzy=True),
         "full_summary": sql.pipeline(summary_rows, with_fuzzy=True),
         "sentence_offsets": f"with recursive c as (select chunk_key, text, {sql.sentence_list('text')} as l from chunks), o as (select chunk_key, 0 as i, instr(text, l[1]) - 1 as a from c where len(l) > 0 union all select o.chunk_key, i + 1, a + length(l[i + 1]) + instr(substr(text, a + length(l[i + 1]) + 1), l[i + 2]) - 1 from o join c using (chunk_key) where i + 1 < len(l)) select chunk_key, i::int as sentence_index, a::int as start_char, (a + length(l[i + 1]))::int as end_char from o join c using (chunk_key)",
-        "evidence_semantic": f"{s}, {sql.CATEGORIES}, an as (select c.cat_ord, ord, a as trigger, {letters.format(x='a')} as w from cats c, unnest(c.semantic_anchors) with ordinality u(a, ord)), v as (select chunk_key, sentence_index, norm, {letters.format(x='sentence')} as v from s), d as (select chunk_key, sentence_index, norm, cat_ord, trigger, ord, list_sum(list_transform(range(1, 27), lambda i: v[i] * w[i])) as d from v cross join an), b as (select * from d qualify row_number() over (partition by chunk_key, sentence_index, cat_ord order by d desc, ord) = 1) select chunk_key, sentence_index::int as sentence_index, b.cat_ord, trigger, round(round(d, 4), 3) as similarity, round(round(least(1.0, d + 0.05::double * len(list_filter(c.ctx, lambda x: contains(norm, x.norm))) + 0.04::double * len(list_filter(c.fld, lambda x: contains(norm, x.norm)))), 4), 3) as score from b join cats c using (cat_ord) where d >= {LETTERS_ALIKE}::double",
+        "evidence_semantic": f"{s}, {sql.CATEGORIES}, an0 as (select c.cat_ord, ord, a as trigger, {letters.format(x='a')} as n from cats c, unnest(c.semantic_anchors) with ordinality u(a, ord)), an as (select *, {unit_of.format(c='n')} as w from an0), v0 as (select chunk_key, sentence_index, norm, {letters.format(x='sentence')} as n from s), v as (select *, {unit_of.format(c='n')} as v from v0), d as (select chunk_key, sentence_index, norm, cat_ord, trigger, ord, list_sum(list_transform(range(1, 27), lambda i: v[i] * w[i])) as d from v cross join an), b as (select * from d qualify row_number() over (partition by chunk_key, sentence_index, cat_ord order by d desc, ord) = 1) select chunk_key, sentence_index::int as sentence_index, b.cat_ord, trigger, round(round(d, 4), 3) as similarity, round(round(least(1.0, d + 0.05::double * len(list_filter(c.ctx, lambda x: contains(norm, x.norm))) + 0.04::double * len(list_filter(c.fld, lambda x: contains(norm, x.norm)))), 4), 3) as score from b join cats c using (cat_ord) where d >= {LETTERS_ALIKE}::double",
         "written_findings_csv": "select * replace (nullif(context_hits, '') as context_hits, nullif(field_hits, '') as field_hits) from (" + sql.pipeline(finding_rows.replace("select chunk_key, ", "select ", 1)) + ")",
         "written_findings_json": sql.pipeline(finding_rows.replace("select chunk_key, ", "select ", 1)),
         "written_summary_csv": f"select * replace (nullif(top_categories, '') as top_categories, null as error_message) from ({sql.pipeline(summary_rows)})",
