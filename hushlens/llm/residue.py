@@ -143,7 +143,10 @@ _SAMPLE = re.compile(rf"\W*(?:{'|'.join(SAMPLES)})(?:\s*(?:[.!:]|$)|(?=\s(?-i:[A
 _START = re.compile(r"[.!?]\s+")
 _KEYS = re.compile(rf"{KEYS}\W+{KEYS}", re.I)
 _KEY_HINT = ("sdf", "jkl", "zert", "qwert")
-_THRICE = re.compile(r"\W*(test|blah?|foo|xxx|essai|texte?|prueba)(?:\s+\1){2,}(?!\w)", re.I)
+_IDLE = ("test", "bla", "blah", "foo", "xxx", "essai", "texte", "text", "prueba")
+_THRICE = re.compile(rf"\W*({'|'.join(_IDLE)})(?:\s+\1){{2,}}(?!\w)", re.I)
+_ANYWHERE = re.compile(rf"(?<!\w){_THRICE.pattern[3:]}", re.I)
+_TWICE = tuple(f"{w} {w}" for w in _IDLE)
 _NUMBER = re.compile("[0-9][0-9a-f]*")
 _WORDS = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
 _BREAK = re.compile("[\r\n\v\f\x85\u2028\u2029]+")
@@ -191,7 +194,7 @@ def _residual(line: str, head: int) -> bool:
     if any(_SAMPLE.match(line, at) or _THRICE.match(line, at) for at in (0, *(m.end() for m in _START.finditer(line)))):
         return True
     low = line.lower()
-    return any(k in low for k in _KEY_HINT) and bool(_KEYS.search(line))
+    return any(k in low for k in _KEY_HINT) and bool(_KEYS.search(line)) or any(w in low for w in _TWICE) and bool(_ANYWHERE.search(line))
 
 
 def known_filler(words: list[str]) -> bool:

@@ -2,7 +2,7 @@ import random
 
 from hushlens.llm import residue as R
 
-TRUSTED = ["Bonjour {{ nom }}, votre contrat", "Cher [[VILLE]],", "Votre conseiller est <<conseiller.nom>>.", "Nom : @@nom_client@@", "Objet : [à compléter]", "Solvie - Bitte aktivieren Sie JavaScript, um fortzufahren.", "404 Not Found", "Erreur 500 - page introuvable", "Votre session a expiré, reconnectez-vous.", "test test test Insérez votre contenu ici.", "Traceback: line 3, in render", "This page isn't available right now.", "ValueError: template missing", "asdf jkl asdf", "Un titre. Votre texte ici"]
+TRUSTED = ["Bonjour {{ nom }}, votre contrat", "Cher [[VILLE]],", "Votre conseiller est <<conseiller.nom>>.", "Nom : @@nom_client@@", "Objet : [à compléter]", "Solvie - Bitte aktivieren Sie JavaScript, um fortzufahren.", "404 Not Found", "Erreur 500 - page introuvable", "Votre session a expiré, reconnectez-vous.", "test test test Insérez votre contenu ici.", "Traceback: line 3, in render", "This page isn't available right now.", "ValueError: template missing", "asdf jkl asdf", "Un titre. Votre texte ici", "Votre texte ici test test test"]
 CONTENT = ["Le souscripteur signale une erreur 404 en ouvrant le lien, un ticket a été créé.", "L'informatique lui a conseillé d'activer JavaScript, ce qui a réglé l'affichage.", "Le modèle de lettre comportait un champ vide.", "La garantie couvre 100 % des frais {forfait A, forfait B} selon l'option.", "Le lot n° #116 et l'option <famille> figurent ici.", "Il écrit « [sic] » à côté.", "Le service était indisponible dimanche ; l'appel a été repris lundi.", "Le cabinet cite un texte d'exemple dans sa plaquette.", "Le montant [voir annexe 4] est repris.", "", "5 % puis 6 %", "Prix &euro; 5", r"\frac{a}{b} = \sqrt{c}", 'print(f"{name} {{ x }}")', "${HOME}/bin", "GET /users/{id}/orders", "__FILE__ et __LINE__", "Merci :smile: !", "Error: see section 4", "Your text here is fine, thanks.", "Voir [[Paris]] et <<Bonjour>>.", "{{a}} = b;", "Le faux texte lorem ipsum est une coutume des imprimeurs depuis longtemps."]
 
 
