@@ -62,6 +62,8 @@ class Analysis:
     detectors: Sequence[str | Callable[..., DataFrame]] = ("lexical", "fuzzy", "linguistic")
     linguistics: Linguistics = Linguistics()
     error: str = ""
+    #: Whether several results will be asked for: the evidence is then detected once for all of them.
+    several: bool = False
 
     def __post_init__(self) -> None:
         if self.encoder is None and self.config.semantic.get("enabled", False):
@@ -83,7 +85,7 @@ class Analysis:
     @cached_property
     def kept_evidence(self) -> DataFrame:
         """The evidence for results that read it twice."""
-        return kept(self.evidence) if "fuzzy" in self.detectors else self.evidence
+        return kept(self.evidence) if self.several or "fuzzy" in self.detectors else self.evidence
 
     @cached_property
     def scores(self) -> DataFrame:

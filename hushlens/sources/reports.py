@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import csv
 import json
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,9 +32,9 @@ def frames(analysis: Analysis) -> dict[str, DataFrame]:
 
 
 def write_reports(analysis: Analysis, directory: str, single: bool = False) -> dict[str, str]:
-    """Write all four, overwriting; label -> path."""
+    """Write all four, overwriting; label -> path. The evidence is detected once, not anew for every report and every sort."""
     out = {}
-    for label, df in frames(analysis).items():
+    for label, df in frames(replace(analysis, several=True)).items():
         path = f"{directory.rstrip('/')}/{NAMES[label]}"
         if single:
             _single(df, path, label.endswith("csv"))

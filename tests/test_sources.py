@@ -2,6 +2,7 @@ import json
 import zlib
 
 import pytest
+from pyspark.sql.functions import udf
 
 from hushlens import cli
 from hushlens.config import config_of
@@ -112,6 +113,23 @@ def test_reports_round_trip(spark, directory, tmp_path, single):
         assert len(json.loads((tmp_path / "out" / "article9_findings.json").read_text())) == len(want)
 
 
+@pytest.mark.parametrize("detectors", [("lexical", "linguistic"), ("lexical", "fuzzy", "linguistic")])
+def test_reports_share_the_evidence(spark, tmp_path, detectors):
+    read = spark.sparkContext.accumulator(0)
+
+    @udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    rows = spark.createDataFrame([("a", "a", "", "1", None, "Visite de l'église"), ("a", "a", "", "2", None, "rien")], "file_path string, file_name string, file_type string, chunk_id string, page_number int, text string")
+    a = Analysis(rows.withColumn("text", counted.asNondeterministic()("text")), config_of(RAW), detectors=detectors)
+    paths = reports.write_reports(a, str(tmp_path / "out"))
+    assert read.value == 2  # each text once, whatever the number of reports
+    assert [r.chunk_count for r in reports.read_summary(spark, paths["summary_csv"]).collect()] == [2]
+    assert reports.read_findings(spark, paths["findings_csv"]).count() and reports.read_audit(spark, paths["audit_json"]).count() == 2
+
+
 def test_missing_audit(spark, tmp_path):
     assert reports.read_audit(spark, str(tmp_path / "none.json")).count() == 0
 
