@@ -9,8 +9,10 @@ keep their sound parts.
 
 A text is affected if a chain wins, or if it holds replacement characters (U+FFFD), whose original is lost.
 
-The dictionaries and the inventory of usual characters are trained on at most `sample` texts of each language, chosen by hash;
-a Model is a few hundred kB and is shipped to the workers. Texts made of usual characters in usual places never leave the JVM.
+Everything a Model has comes from all training texts. Usual characters and known words are exact counts over them. Dictionaries
+are trained on blocks of texts, into which every text goes, and then on the dictionaries of up to `MERGED` blocks, level by level,
+until each language has one: what is frequent in many blocks stays. A Model is a few hundred kB and is shipped to the workers.
+Texts made of usual characters in usual places never leave the JVM.
 
 Defined results: null and empty texts are not affected; a text whose original can't be wholly regained has restored = null;
 repeated rows are judged alike; an empty table gives no rows; without any training text the dictionaries are empty.
@@ -25,11 +27,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .canon import TABLE, canonical, ranges
-from .common import map_columns, transposed
+from .common import arrow_schema, cut_lineage, map_columns, transposed
 
 #: Encodings with one byte a character, by which bytes may have been read.
 SINGLE = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1256", "cp1253", "koi8_r", "cp1250", "iso8859_15")
@@ -246,12 +249,16 @@ class Model:
 
 
 def sound(text: str) -> bool:
-    """Whether a training text shows no sign of a wrong encoding: nothing lost, no control characters, and what stands above ASCII
-    is not to a third part sequences of UTF-8 that were read as single bytes (a few such pairs occur in sound text)."""
+    """Whether a training text shows no sign of a wrong encoding: nothing lost, no control characters, no capital above ASCII after
+    a small letter, and what stands above ASCII is not to a third part sequences of UTF-8 that were read as single bytes (a few such
+    pairs occur in sound text)."""
     above = len(text) - len(text.encode("ascii", "ignore"))
     if not above:
         return True
-    return not (_BROKEN.search(text) or any(3 * sum(m.end() - m.start() - 1 for m in read.finditer(text)) >= above for read in _read_as()))
+    if _BROKEN.search(text) or _CASE.search(text):
+        return False
+    runs = " ".join(_RUN.findall(text))  # no sequence is shorter or goes beyond one
+    return not any(3 * sum(m.end() - m.start() - 1 for m in read.finditer(runs)) >= above for read in _read_as())
 
 
 @lru_cache(maxsize=1)
@@ -265,42 +272,105 @@ def _read_as() -> list[re.Pattern]:
     return out
 
 
-def train(df: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = 250, dict_bytes: int = 24_576, chars: int = 4_000, least: int = 3, share: float = 0.01, most: int = 16_000) -> Model:
-    """Dictionaries from at most `sample` texts a language, the first by hash, of which at most `chars` characters are used.
+#: Dictionaries that are merged at once, and how much larger than the last one those to be merged are.
+MERGED, ROOM = 32, 8
+#: Longest piece of a text that a dictionary is trained on, in characters.
+PIECE = 2_000
 
-    Texts that show signs of a wrong encoding are left out. A character above ASCII is usual if, in some language, it stands in
-    at least `share` of the texts, and `least` times at least. A language is the first two letters of the code; texts without
-    one are a group of their own, and no language is left out: of more than `most` / `sample` languages each gets fewer texts.
-    So at most `most` * `chars` characters reach the driver.
-    """
+
+def pieces(text: str) -> list[bytes]:
+    """A text's sentences, long ones cut."""
+    return [p[i : i + PIECE].encode("utf-8", "surrogatepass") for p in _STOP.split(text) if p for i in range(0, len(p), PIECE)]
+
+
+def dictionary(samples: list[bytes], size: int, **fixed: int) -> bytes:
+    """A dictionary of at most `size` bytes; what is too little to train on is its own dictionary."""
     import zstandard as Z
 
-    code = F.lower(F.regexp_extract(F.coalesce(F.trim(lang), F.lit("")), r"^(\p{L}{2})", 1))
-    rows = df.where(F.col(text).isNotNull() & (F.length(F.trim(text)) > 20)).select(code.alias("_lang"), F.col(key), F.col(text).alias("_text"))
-    languages = rows.agg(F.count_distinct("_lang")).first()[0]
-    texts_each = min(sample, max(1, most // max(1, languages)))
-    first = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64(key), key))
-    rows = rows.withColumn("_n", first).where(F.col("_n") <= texts_each)
-    got = rows.groupBy("_lang").agg(F.collect_list(F.substring("_text", 1, chars)).alias("texts")).orderBy("_lang").collect()
-    usual: set[str] = set()
-    dictionaries, words = {}, set()
-    for r in got:
-        texts = [t for t in sorted(r["texts"]) if sound(t)]
-        holding: Counter = Counter(c for t in texts for c in set(t) if c > "\x7f")
-        times: Counter = Counter(c for t in texts for c in t if c > "\x7f")
-        usual.update(c for c, n in holding.items() if n >= share * len(texts) and times[c] >= least)
-        words.update(w.lower() for t in texts for w in _LATIN_WORD.findall(t) if not w.isascii())
-        samples = [p.encode() for t in texts for p in re.split(r"(?<=[.!?\n])\s+|(?<=[。！？])", t) if p]
+    for step in (0, 64):  # few large samples are cut smaller
+        cut = [p[i : i + step] for p in samples for i in range(0, len(p), step)] if step else samples
         try:
-            if len(samples) < 200:
+            if len(cut) < 200:
                 raise Z.ZstdError
-            dictionaries[r["_lang"]] = Z.train_dictionary(dict_bytes, samples).as_bytes()
+            return Z.train_dictionary(size, cut, split_point=1.0, **fixed).as_bytes()  # else a quarter only serves to compare settings
         except Z.ZstdError:
-            seen = list(dict.fromkeys(samples))
-            dictionaries[r["_lang"]] = b"\n".join(seen)[:dict_bytes] or b"        "
-    return Model(dictionaries, "".join(sorted(c for c in usual if c != "�" and not "\x80" <= c <= "\x9f")), frozenset(words))
+            whole = b"\n".join(dict.fromkeys(samples))
+            if len(whole) <= size:
+                break
+    return whole[:size] or b"        "
 
 
+_PARTS = "_lang string, kind string, item string, texts long, times long, _block long, dictionary binary"
+
+
+def train(df: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", dict_bytes: int = 24_576, least: int = 3, share: float = 0.01, known: float = 0.0001, most: int = 16_000, chars: int = 4_000_000) -> Model:
+    """A Model of all texts longer than 20 characters.
+
+    Texts that show signs of a wrong encoding are left out. A character above ASCII is usual if, in some language, it stands in
+    at least `share` of the texts, and `least` times at least; a word is known if it stands in at least `known` of them, which
+    bounds the list: by the words above ASCII of a text, divided by `known`. A language is the first two letters of the code;
+    texts without one are a group of their own. A block has about `most` texts or `chars` characters, whichever is less. The
+    driver gets what passes these shares and one dictionary a language.
+    """
+    spark = df.sparkSession
+    code = F.lower(F.regexp_extract(F.coalesce(F.trim(lang), F.lit("")), r"^(\p{L}{2})", 1))
+    rows = df.where(F.col(text).isNotNull() & (F.length(F.trim(text)) > 20)).select(code.alias("_lang"), F.col(key).alias("_key"), F.col(text).alias("_text"))
+    sizes = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("_text")).alias("chars")).collect()
+    blocks = {r["_lang"]: max(-(-r["n"] // most), -(-r["chars"] // chars)) for r in sizes}
+    if not blocks:
+        return Model()
+    into = F.broadcast(spark.createDataFrame(list(blocks.items()), "_lang string, _blocks long"))
+    placed = rows.join(into, "_lang").withColumn("_block", F.pmod(F.xxhash64("_key", "_text"), F.col("_blocks"))).select("_lang", "_block", "_blocks", "_text")
+
+    schema = arrow_schema(_PARTS)
+
+    def as_table(rows: list[tuple]) -> pa.Table:
+        return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(transposed(rows, len(schema)), schema)], schema=schema)
+
+    def trained(group: tuple, samples: list[bytes], last: bool) -> list[tuple]:
+        # The last dictionary of a language is trained with the best of several settings.
+        made = dictionary(samples, dict_bytes) if last else dictionary(samples, ROOM * dict_bytes, k=512, d=8)
+        return [(group[0].as_py(), "dictionary", None, 0, 0, group[1].as_py(), made)]
+
+    def count(group: tuple, table: pa.Table) -> pa.Table:
+        texts = [t for t in sorted(table["_text"].to_pylist()) if sound(t)]
+        holding, times, words = Counter(), Counter(), Counter()
+        for t in texts:
+            n = Counter("".join(_ABOVE.findall(t)))
+            times.update(n)
+            holding.update(n.keys())
+            words.update({w.lower() for w in _LATIN_WORD.findall(t) if not w.isascii()})
+        lang, block = group[0].as_py(), group[1].as_py()
+        out = [(lang, "texts", None, len(texts), 0, block, None)]
+        out += [(lang, "character", c, n, times[c], block, None) for c, n in holding.items()]
+        out += [(lang, "word", w, n, 0, block, None) for w, n in words.items()]
+        return as_table(out + trained(group, [p for t in texts for p in pieces(t)], table["_blocks"][0].as_py() == 1))
+
+    def merge(group: tuple, table: pa.Table) -> pa.Table:
+        samples = [p for raw in sorted(table["dictionary"].to_pylist()) for p in pieces(raw.decode("utf-8", "ignore"))]
+        return as_table(trained(group, samples, table["_blocks"][0].as_py() == 1))
+
+    parts = cut_lineage(placed.groupBy("_lang", "_block").applyInArrow(count, _PARTS))
+    total = parts.where("kind = 'texts'").groupBy("_lang").agg(F.sum("texts").alias("_all"))
+    counted = parts.where("kind in ('character', 'word')").groupBy("_lang", "kind", "item").agg(F.sum("texts").alias("texts"), F.sum("times").alias("times")).join(F.broadcast(total), "_lang")
+    usual = (F.col("kind") == "character") & (F.col("texts") >= share * F.col("_all")) & (F.col("times") >= least)
+    got = counted.where(usual | ((F.col("kind") == "word") & (F.col("texts") >= known * F.col("_all")))).select("kind", "item").distinct().collect()
+    dictionaries = parts.where("kind = 'dictionary'")
+    while max(blocks.values()) > 1:
+        one = {k for k, n in blocks.items() if n == 1}
+        blocks = {k: -(-n // MERGED) for k, n in blocks.items()}
+        into = F.broadcast(spark.createDataFrame(list(blocks.items()), "_lang string, _blocks long"))
+        several = dictionaries.where(~F.col("_lang").isin(*one)).join(into, "_lang").withColumn("_block", F.pmod("_block", "_blocks"))
+        merged = several.groupBy("_lang", "_block").applyInArrow(merge, _PARTS)
+        dictionaries = cut_lineage(dictionaries.where(F.col("_lang").isin(*one)).unionByName(merged))
+    chosen = {r["_lang"]: bytes(r["dictionary"]) for r in dictionaries.orderBy("_lang").collect()}
+    characters = sorted(r["item"] for r in got if r["kind"] == "character" and r["item"] != "�" and not "\x80" <= r["item"] <= "\x9f")
+    return Model(chosen, "".join(characters), frozenset(r["item"] for r in got if r["kind"] == "word"))
+
+
+_ABOVE = re.compile("[^\x00-\x7f]+")
+_RUN = re.compile("[^\x00-\x7f]{2,}")
+_STOP = re.compile(r"(?<=[.!?\n])\s+|(?<=[。！？])")
 _BROKEN = re.compile("[\ufffd\x80-\x9f]")
 _LATIN_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
 _EAST = "\u3000-\u9fff\uac00-\ud7a3\uff00-\uff60\uffe0-\uffef"

@@ -1,4 +1,5 @@
 import pickle
+from hashlib import sha256
 
 import pytest
 
@@ -97,3 +98,23 @@ def test_training_leaves_garbled_texts_out(spark):
     few = M.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=40)
     assert sorted(few.dictionaries) == ["", "fr"]  # fewer texts each, no language dropped
     assert M.sound("قال، ثم رجع، دينار، وقال") and not M.sound(FR[0].encode("utf-8").decode("cp1252")) and not M.sound("perdu \ufffd")
+
+
+def test_training_counts_every_text(spark):
+    rows = [(n, f"Le dossier {n} de Mélu{'abcdefghij'[n // 100]}{'abcdefghij'[n // 10 % 10]}{'abcdefghij'[n % 10]} est clos. {'rien ' * 900}Signé par Dvořák.", "fr") for n in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one = M.train(df)
+    assert len(one.words) == 400 + len({"signé", "dvořák"}) and one.usual == "áéř"  # no text and no end of a text is left out
+    several = M.train(df, most=9)
+    assert (several.words, several.usual) == (one.words, one.usual) and sorted(several.dictionaries) == ["fr"]  # 45 blocks, merged twice
+    assert len(several.dictionaries["fr"]) <= 24_576 and M.repair("Le dossier est clos. SignÃ© par Dvořák.", several)[:2] == (True, "Le dossier est clos. Signé par Dvořák.")
+
+
+def test_dictionary_of_few_large_samples():
+    samples = ["".join(sha256(b"%d %d" % (n, i)).hexdigest() for i in range(40)).encode() for n in range(40)] + ["ein gewöhnlicher Satz ohne Ende ".encode() * 40] * 20
+    assert "gewöhnlicher Satz".encode() in M.dictionary(samples, 4_096)  # it begins in the last fifth
+
+
+def test_sound_texts_have_no_capital_inside_a_word():
+    garbled = "Un Ètat des lieux, rÈglÈ et signÈ."
+    assert garbled == "Un état des lieux, réglé et signé.".encode("cp1252").decode("mac_roman") and not M.sound(garbled) and M.sound("UN ÉTAT DES LIEUX. Été, À Évry")
