@@ -98,7 +98,8 @@ def exact(sentences: DataFrame, config: Config, keys: Sequence[str], methods: Se
         found.append(F.transform(F.filter(lexicon_literal(rooted), lambda t: ~F.contains(norm, t["norm"]) & (F.size(F.array_except(t["roots"], roots)) == 0)), fields(2)))
     if not found:
         return _none(sentences, config, keys)
-    rows = sentences.where(may).select(*keys, "sentence_index", "sentence", "norm", F.explode(F.concat(*found)).alias("_t"))
+    # A condition inside the explode, since where() would be pushed below the sentences' columns, which it would then compute anew.
+    rows = sentences.select(*keys, "sentence_index", "sentence", "norm", F.explode(F.when(may, F.concat(*found))).alias("_t"))
     lex = F.col("_t.seq") == 0
     rows = rows.select(
         *keys, "sentence_index", "sentence", "norm", "_t.cat_ord", "_t.term_ord", F.col("_t.seq").alias("method_seq"), F.col("_t.term").alias("trigger"),

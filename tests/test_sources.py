@@ -130,6 +130,12 @@ def test_reports_share_the_evidence(spark, tmp_path, detectors):
     assert reports.read_findings(spark, paths["findings_csv"]).count() and reports.read_audit(spark, paths["audit_json"]).count() == 2
 
 
+def test_reports_normalise_sentences_once(spark):
+    rows = spark.createDataFrame([("a", "1", "Visite de l'église")], "file_path string, chunk_id string, text string")
+    plan = Analysis(rows, config_of(RAW), detectors=("lexical", "linguistic")).evidence._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_missing_audit(spark, tmp_path):
     assert reports.read_audit(spark, str(tmp_path / "none.json")).count() == 0
 
